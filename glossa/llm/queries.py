@@ -11,6 +11,52 @@ def p1_found(spark, sf_dir):
     return sentences(table(spark, sf_dir, "sci_dr"))
 
 
+def p5_found(spark, sf_dir):
+    from glossa.llm.copies import copy_classes, pairs_of_classes
+
+    return pairs_of_classes(copy_classes(table(spark, sf_dir, "sci_dr")), "sample_id_a", "sample_id_b")
+
+
+def p5_classes(spark, sf_dir):
+    """Every record with its class: those without a copy are a class of their own."""
+    from glossa.llm.copies import copy_classes
+    from pyspark.sql import functions as F
+
+    docs = table(spark, sf_dir, "sci_dr")
+    classes = copy_classes(docs).withColumnRenamed("id", "sample_id")
+    return docs.select("sample_id").join(classes, "sample_id", "left").select(
+        "sample_id", F.coalesce("class_id", "sample_id").alias("class_id")
+    )
+
+
+def _p6_overlaps(spark, sf_dir):
+    from glossa.llm.overlap import cross_split_overlaps, split_records
+
+    records = split_records(table(spark, sf_dir, "sci_dr"), table(spark, sf_dir, "splits"))
+    return records, cross_split_overlaps(records)
+
+
+def p6_found(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    _, o = _p6_overlaps(spark, sf_dir)
+    return o.select(
+        F.least("held_id", "train_id").alias("sample_id_a"), F.greatest("held_id", "train_id").alias("sample_id_b")
+    ).distinct()
+
+
+def p6_counts(spark, sf_dir):
+    """Overlapping evaluation records, pairs and mean best containment per role and source."""
+    from pyspark.sql import functions as F
+
+    records, o = _p6_overlaps(spark, sf_dir)
+    best = o.groupBy(F.col("held_id").alias("id")).agg(F.count("*").alias("pairs"), F.max("containment").alias("best"))
+    held = records.where("held").select("id", "role", "source").distinct()
+    return held.join(best, "id").groupBy("role", "source").agg(
+        F.count("*").alias("records"), F.sum("pairs").alias("pairs"), F.round(F.avg("best"), 4).alias("mean_containment")
+    )
+
+
 def p7_ids(spark, sf_dir):
     from glossa.llm.tokens import encode_corpus
 
