@@ -11,6 +11,12 @@ def p1_found(spark, sf_dir):
     return sentences(table(spark, sf_dir, "sci_dr"))
 
 
+def p2_found(spark, sf_dir):
+    from glossa.llm.canonical import map_to_reference
+
+    return map_to_reference(table(spark, sf_dir, "scraped_definitions"), table(spark, sf_dir, "expansion_reference"))
+
+
 def p5_found(spark, sf_dir):
     from glossa.llm.copies import copy_classes, pairs_of_classes
 
