@@ -17,6 +17,49 @@ def p2_found(spark, sf_dir):
     return map_to_reference(table(spark, sf_dir, "scraped_definitions"), table(spark, sf_dir, "expansion_reference"))
 
 
+def _p3(spark, sf_dir):
+    from glossa.llm.consensus import annotation_labels, consensus
+
+    return consensus(*annotation_labels(table(spark, sf_dir, "compare_annotations")))
+
+
+def p3_found(spark, sf_dir):
+    return _p3(spark, sf_dir)[0].select("doc_id", "acronym", "expansion")
+
+
+def p3_reliability(spark, sf_dir):
+    return _p3(spark, sf_dir)[1]
+
+
+def p3_agreement(spark, sf_dir):
+    """Krippendorff's alpha over all items."""
+    from glossa.llm.consensus import annotation_labels, krippendorff
+
+    return krippendorff(annotation_labels(table(spark, sf_dir, "compare_annotations"))[0])
+
+
+def _p4_groups(spark, sf_dir):
+    from glossa.llm.grouped import related_groups
+
+    return related_groups(table(spark, sf_dir, "sci_dr"))
+
+
+def p4_found(spark, sf_dir):
+    from glossa.llm.grouped import latest_folds, torn_articles
+
+    folds = latest_folds(table(spark, sf_dir, "results_reporter_base"))
+    return torn_articles(_p4_groups(spark, sf_dir), folds).select("doc_id")
+
+
+def p4_splits(spark, sf_dir):
+    """The 80/10/10 split of all articles, stratified by the languages of their passages."""
+    from glossa.llm.grouped import stratified_splits
+    from pyspark.sql import functions as F
+
+    labels = table(spark, sf_dir, "sci_dr").select("article_id", F.lower(F.trim("lang")).alias("label"))
+    return stratified_splits(_p4_groups(spark, sf_dir), labels)
+
+
 def p5_found(spark, sf_dir):
     from glossa.llm.copies import copy_classes, pairs_of_classes
 
