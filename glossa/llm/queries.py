@@ -112,5 +112,25 @@ def p7_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+
+def _p8(spark, sf_dir):
+    from glossa.llm.leaks import leaked
+
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark, sf_dir):
+    return _p8(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_report(spark, sf_dir):
+    """Documents, whole and partial copies of each leaked item."""
+    from pyspark.sql import functions as F
+
+    return _p8(spark, sf_dir).groupBy("item_id").agg(
+        F.count("*").alias("documents"), F.sum((F.col("part") >= 0.9).cast("int")).alias("whole"), F.max("part").alias("most")
+    )
+
+
 QUERIES = {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 ORACLE: dict[str, str] = {}
