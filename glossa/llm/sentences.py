@@ -100,37 +100,63 @@ def _next_class(nxt: str | None) -> str:
     return "<l>" if c.islower() else "<9>" if c.isdigit() else "<o>"
 
 
-def count_text(counts: Counter, lang: str, text: str) -> None:
-    """Add one text's statistics to ``counts``: {(lang, kind, a, b): n}."""
-    for block in _BLOCK.split(text):
-        if lang == "th":
-            _count_thai(counts, block)
-            continue
-        if lang in ("zh", "ja"):
-            continue
-        toks = block.split()
-        if not toks:
-            continue
-        after_break = True
-        last = len(toks) - 1
-        for i, raw in enumerate(toks):
-            core = raw.strip(OPEN + CLOSE)
-            if not core:
+_ENDS = frozenset(".!?" + CLOSE)
+
+
+class Counts:
+    """Statistics of texts: whole tokens are counted as they stand and taken apart once each at the end."""
+
+    def __init__(self):
+        self.tokens: dict[str, Counter] = {}
+        self.found: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.found) + sum(map(len, self.tokens.values()))
+
+    def add(self, lang: str, text: str) -> None:
+        found = self.found
+        for block in _BLOCK.split(text):
+            if lang == "th":
+                _count_thai(found, block)
                 continue
-            if after_break and core[0].isupper():
-                counts[lang, "clear", core.rstrip(".,;:!?…"), ""] += 1
-            after_break = False
-            c = core[-1]
-            if c == "." and len(core) > 1 and not core.endswith(".."):
-                nxt = _next_class(toks[i + 1]) if i < last else "<end>"
-                counts[lang, "period", word_type(core), nxt] += 1
-            else:
-                bare = core.rstrip(",;:!?…")
-                if bare:
-                    counts[lang, "plain", bare.lower(), ""] += 1
-                after_break = c in "!?" and raw[-1] in "!?"
-            if core[0].isupper():
-                counts[lang, "upper", core.rstrip(".,;:!?…"), ""] += 1
+            if lang in ("zh", "ja"):
+                continue
+            toks = block.split()
+            if not toks:
+                continue
+            if lang not in self.tokens:
+                self.tokens[lang] = Counter()
+            self.tokens[lang].update(toks)
+            last = len(toks) - 1
+            self._clear(lang, toks[0])
+            for i in [i for i, t in enumerate(toks) if t[-1] in _ENDS]:
+                core = toks[i].strip(OPEN + CLOSE)
+                if not core:
+                    continue
+                if core[-1] == "." and len(core) > 1 and core[-2] != ".":
+                    found[lang, "period", word_type(core), _next_class(toks[i + 1]) if i < last else "<end>"] += 1
+                elif toks[i][-1] in "!?" and i < last:
+                    self._clear(lang, toks[i + 1])
+
+    def _clear(self, lang: str, token: str) -> None:
+        core = token.strip(OPEN + CLOSE)
+        if core and core[0].isupper():
+            self.found[lang, "clear", core.rstrip(".,;:!?…"), ""] += 1
+
+    def frame(self) -> pd.DataFrame:
+        out = self.found
+        for lang, tokens in self.tokens.items():
+            for token, n in tokens.items():
+                core = token.strip(OPEN + CLOSE)
+                if not core:
+                    continue
+                bare = core.rstrip(".,;:!?…")
+                word = core.rstrip(",;:!?…")
+                if word and not (core[-1] == "." and len(core) > 1 and core[-2] != "."):
+                    out[lang, "plain", word.lower(), ""] += n
+                if core[0].isupper():
+                    out[lang, "upper", bare, ""] += n
+        return pd.DataFrame([(*k, n) for k, n in out.items()], columns=["lang", "kind", "a", "b", "n"])
 
 
 def _thai_edges(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
@@ -162,24 +188,20 @@ def corpus_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """``(lang, kind, a, b, n)`` over all documents; each task sums before the shuffle."""
 
     def run(batches):
-        counts: Counter = Counter()
+        counts = Counts()
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"]):
                 if text and not text.isspace():
-                    count_text(counts, language(lang, text), text)
+                    counts.add(language(lang, text), text)
             if len(counts) > 500_000:
-                yield _frame(counts)
-                counts.clear()
-        yield _frame(counts)
+                yield counts.frame()
+                counts = Counts()
+        yield counts.frame()
 
     raw = spread(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).mapInPandas(run, STATS)
     return raw.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def _frame(counts: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "kind", "a", "b", "n"])
-
-
 def _xlogy(x, y):
     return F.when(x <= 0, F.lit(0.0)).otherwise(x * F.log(F.greatest(y, F.lit(1e-12))))
 
