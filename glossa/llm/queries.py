@@ -132,5 +132,26 @@ def p8_report(spark, sf_dir):
     )
 
 
+
+def _p9(spark, sf_dir):
+    from glossa.llm.reading import reading_levels
+
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_samples"))
+
+
+def p9_found(spark, sf_dir):
+    return _p9(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p9_profile(spark, sf_dir):
+    """Documents and mean expected level per source and level."""
+    from pyspark.sql import functions as F
+
+    levels = _p9(spark, sf_dir)
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(levels, "doc_id").groupBy("source", "reading_level").agg(
+        F.count("*").alias("documents"), F.round(F.avg("expected"), 4).alias("mean_level")
+    )
+
+
 QUERIES = {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 ORACLE: dict[str, str] = {}
