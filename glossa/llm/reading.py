@@ -33,7 +33,10 @@ from glossa.runtime import spread
 SAMPLES = 20_000
 LEVELS = 5
 LEAST_SENTENCES = 6
-CHAR_SLOTS, WORD_SLOTS = 1 << 17, 1 << 16
+CHAR_BITS, WORD_BITS = 17, 16
+CHAR_SLOTS, WORD_SLOTS = 1 << CHAR_BITS, 1 << WORD_BITS
+#: Code points scored at once.
+BATCH_CHARS = 500_000
 CHAR_SIZES = (2, 3)
 SENTENCE_PENALTY, DOCUMENT_PENALTY, FOLDS = 3.0, 2e-3, 6
 CHAR_SCALE, WORD_SCALE, LENGTH_SCALE = 10.0, 5.0, 0.55
@@ -62,12 +65,7 @@ def _kinds() -> np.ndarray:
     return _KIND
 
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
+_B = np.uint32(0x9E3779B1)
 
 
 @dataclass
@@ -91,29 +89,33 @@ def features(sentences: list[str]) -> Features:
     owner = np.zeros(len(codes), np.int32)
     owner[ends[:-1] + 1] = 1
     owner = np.cumsum(owner, dtype=np.int32)
-    kind = _kinds()[np.minimum(codes, 0x10FFFF)]
+    kind = _kinds()[codes]
     letter = kind == 1
-    plain = np.where(letter, codes, np.where(kind == 2, 48, 32)).astype(np.uint64)
+    plain = np.where(letter, codes, np.where(kind == 2, np.uint32(48), np.uint32(32)))
     out = Features()
     for size in CHAR_SIZES:
-        m = len(plain) - size + 1
-        h = np.zeros(max(m, 0), np.uint64)
+        m = max(0, len(plain) - size + 1)
+        h = np.full(m, size, np.uint32)
+        ok = letter[:m].copy()
         for d in range(size):
-            h = h * np.uint64(0x100000001B3) + plain[d : d + m]
-        ok = letter[: len(h)] & (codes[size - 1 : size - 1 + len(h)] != 10)
+            h *= np.uint32(0x01000193)
+            h += plain[d : d + m]
+            if 0 < d < size - 1:
+                ok &= codes[d : d + m] != 10
         at = np.flatnonzero(ok)
-        slots = (_mix(h[at] + np.uint64(size)) & np.uint64(CHAR_SLOTS - 1)).astype(np.int64)
-        out.char.append((slots, owner[at]))
+        h = h[at] * np.uint32(0x9E3779B1)
+        out.char.append(((h >> np.uint32(32 - CHAR_BITS)).astype(np.int32), owner[at]))
     starts = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
     stops = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1
-    power = np.full(64, _B, np.uint64)
+    power = np.full(64, _B, np.uint32)
     power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    # Words are hashed by letters from their start; letters after the 64th are left out.
-    offset = np.arange(len(codes)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(codes)]))
-    value = np.where(letter, _mix(plain) * power[np.minimum(offset, 63)], np.uint64(0))
-    sums = np.add.reduceat(value, starts) if len(starts) else np.array([], np.uint64)
-    out.word = ((_mix(sums) & np.uint64(WORD_SLOTS - 1)).astype(np.int64), owner[starts])
+    power = np.cumprod(power, dtype=np.uint32)
+    # Words are hashed by letters from their start.
+    offset = np.arange(len(codes), dtype=np.int32) - np.repeat(np.r_[0, starts].astype(np.int32), np.diff(np.r_[0, starts, len(codes)]))
+    value = np.where(letter, plain * np.uint32(0x85EBCA6B) * power[np.minimum(offset, 63)], np.uint32(0))
+    sums = np.add.reduceat(value, starts, dtype=np.uint32) if len(starts) else np.array([], np.uint32)
+    sums = (sums ^ (sums >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    out.word = ((sums >> np.uint32(32 - WORD_BITS)).astype(np.int32), owner[starts])
     letters = np.bincount(owner[letter], minlength=n)
     words = np.bincount(owner[starts], minlength=n)
     longest = np.zeros(n)
@@ -178,8 +180,8 @@ class LevelModel:
         self.length_w = lengths.T @ dual
         tables = []
         for ((use, _, _), _), b, size in zip(parts, blocks, [CHAR_SLOTS] * len(f.char) + [WORD_SLOTS]):
-            w = np.zeros((LEVELS + 1, size), np.float32)
-            w[:, use] = (b.T @ dual).T
+            w = np.zeros((size, LEVELS + 1), np.float32)
+            w[use] = b.T @ dual
             tables.append(w)
         self.char_w, self.word_w = tables[:-1], tables[-1]
         d = self._document(seen, lengths, doc, len(samples))
@@ -206,9 +208,12 @@ class LevelModel:
         lengths = self._lengths(f.dense, langs)
         z = lengths @ self.length_w + self.mean
         for (slots, own), table, scale in [*((c, w, CHAR_SCALE) for c, w in zip(f.char, self.char_w)), (f.word, self.word_w, WORD_SCALE)]:
-            factor = scale / np.maximum(np.bincount(own, minlength=n), 1)
-            for k in range(LEVELS + 1):
-                z[:, k] += factor * np.bincount(own, table[k][slots], minlength=n)
+            if not len(own):
+                continue
+            # Owners ascend, so a sentence's features are one run.
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            runs = np.diff(np.r_[first, len(own)])
+            z[own[first]] += np.add.reduceat(table[slots], first, axis=0) * (scale / runs)[:, None]
         return z, lengths
 
     @staticmethod
@@ -283,9 +288,22 @@ def reading_levels(
     def run(batches):
         entries, model = shared.value
         splitter = Splitter(entries)
+        def score(rows):
+            parts, own, langs = [], [], []
+            for i, (_, lang, ss) in enumerate(rows):
+                parts += ss
+                own += [i] * len(ss)
+                langs += [lang] * len(ss)
+            z, lengths = model.sentence_levels(parts, np.array(langs))
+            d = model.document_levels(z, lengths, np.array(own, np.int64), len(rows))
+            return pd.DataFrame({
+                id_col: [r[0] for r in rows], "reading_level": d.argmax(1) + 1, "confidence": d.max(1),
+                "expected": d @ np.arange(1, LEVELS + 1), "sentences": [len(r[2]) for r in rows],
+            })
+
         for pdf in batches:
-            at, parts, own, langs, counts = [], [], [], [], []
-            for i, (text, lang) in enumerate(zip(pdf["text"], pdf["lang"])):
+            rows, chars = [], 0
+            for key, text, lang in zip(pdf["id"], pdf["text"], pdf["lang"]):
                 if not text:
                     continue
                 text = unmarked(text)
@@ -295,17 +313,13 @@ def reading_levels(
                     continue
                 if lang == ANY_LATIN:
                     lang = model.latin(text)
-                parts += [text[a:b] for a, b in spans]
-                own += [len(at)] * len(spans)
-                langs += [lang] * len(spans)
-                counts.append(len(spans))
-                at.append(i)
-            z, lengths = model.sentence_levels(parts, np.array(langs))
-            d = model.document_levels(z, lengths, np.array(own, np.int64), len(at)) if at else np.zeros((0, LEVELS))
-            yield pd.DataFrame({
-                id_col: pdf["id"].iloc[at], "reading_level": d.argmax(1) + 1 if len(d) else np.array([], int),
-                "confidence": d.max(1) if len(d) else np.array([]), "expected": d @ np.arange(1, LEVELS + 1), "sentences": np.array(counts, int),
-            })
+                rows.append((key, lang, [text[a:b] for a, b in spans]))
+                chars += len(text)
+                if chars > BATCH_CHARS:
+                    yield score(rows)
+                    rows, chars = [], 0
+            if rows:
+                yield score(rows)
 
     src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
     return src.mapInPandas(run, schema)
