@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 import regex
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 _VOWEL = regex.compile(r"[aeiou]|(?<=[^aeiou])y")
 
@@ -109,18 +110,18 @@ def singular(noun: str) -> str:
     return noun[:-1] if regex.search(r"[^su]s$", noun) else noun
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     """Porter stems of arrays of lower-case words; null stays null (P-07)."""
     return tokens.map(lambda t: None if t is None else [porter(w) if w is not None else None for w in t])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def plural_of(e: pd.Series) -> pd.Series:
     return e.map(lambda x: None if x is None else plural(x))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's similarity of two strings, null if either is null (P-19)."""
     from difflib import SequenceMatcher

@@ -21,12 +21,12 @@ def cosine(a, b):
     return F.when(n > 0, dot / n).otherwise(0.0)
 
 
-def nearest(tests: DataFrame, train: DataFrame, key: list[str], test_id: str, vec: str = "vec", label: str = "label", order: str = "train_id") -> DataFrame:
+def nearest(tests: DataFrame, train: DataFrame, key: list[str], test_id: str, vec: str = "vec", label: str = "label") -> DataFrame:
     """Options of each test vector with the greatest cosine to their training vectors, floor 0 (C-01, C-03, J-15).
 
     ``test_id, label, confidence``; the join is on ``key`` (the acronym, or a block).
     """
-    j = tests.select(test_id, *key, F.col(vec).alias("a")).join(train.select(*key, label, F.col(vec).alias("b")), key) if key else tests.select(test_id, F.col(vec).alias("a")).join(F.broadcast(train.select(label, F.col(vec).alias("b"))))
+    j = tests.select(test_id, *key, F.col(vec).alias("a")).join(train.select(*key, label, F.col(vec).alias("b")), key)
     return j.select(test_id, label, F.greatest(cosine(F.col("a"), F.col("b")), F.lit(0.0)).alias("c")).groupBy(test_id, label).agg(F.round(F.max("c"), 6).alias("confidence"))
 
 

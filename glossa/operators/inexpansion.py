@@ -33,7 +33,7 @@ DIGIT_WORDS = (
 _ALNUM = r"[\p{L}\p{N}]"
 _PAREN = regex.compile(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 _DASH = regex.compile(r"(\S+)\s+-\s+|(\S+)\s*:\s+|(\S+?):(?=\S)")
-_SENTENCE_START = regex.compile(r"(?:^|.*[.;:!?](?=\s)|.*\n)", regex.S)
+_SENTENCE_START = regex.compile(r"(?:.*(?:[.;:!?](?=\s)|\n))?", regex.S)
 _SENTENCE_END = regex.compile(r"[.;:!?](?=\s|$)|\n")
 
 
@@ -290,5 +290,7 @@ def initials_before(text, most: int = 6):
 
 def by_letters(text, acronym):
     """Expansion of a given acronym by a regular expression made from its letters: words of those initials before "(ACR)" (E-13)."""
-    words = F.array_join(F.transform(F.split(F.regexp_replace(acronym, r"[^A-Z0-9]", ""), "(?!^)"), lambda c: F.concat(F.lit(r"\b[\Q"), c, F.lower(c), F.lit(r"\E]\w*"))), r"[\s-]+")
-    return F.nullif(F.regexp_extract(text, F.concat(F.lit("("), words, F.lit(r")\s*\("), acronym, F.lit(r"\)")), 1), F.lit(""))
+    letters = F.filter(F.split(F.regexp_replace(acronym, r"[^A-Z0-9]", ""), ""), lambda c: c != "")
+    words = F.array_join(F.transform(letters, lambda c: F.concat(F.lit(r"\b["), c, F.lower(c), F.lit(r"]\w*"))), r"[\s-]+")
+    pattern = F.concat(F.lit("("), words, F.lit(r")\s*\(\Q"), acronym, F.lit(r"\E\)"))
+    return F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(1)), F.lit(""))

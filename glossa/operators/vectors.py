@@ -43,7 +43,10 @@ def tfidf(docs: DataFrame, id_col: str, tokens, min_df: int = 1, max_df: float =
 
 def weighted_ngrams(docs: DataFrame, id_col: str, tokens, weights: dict[int, float]) -> DataFrame:
     """Counts of n-grams times the weight of their length, as ``id_col, term, weight`` (R-03, P-22)."""
-    grams = F.flatten(F.array(*(F.transform(X.word_ngrams(tokens, n), lambda g, w=w: F.struct(g.alias("term"), F.lit(w).alias("w"))) for n, w in weights.items())))
+    def weighted(n: int, w: float):
+        return F.transform(X.word_ngrams(tokens, n), lambda g: F.struct(g.alias("term"), F.lit(w).alias("w")))
+
+    grams = F.flatten(F.array(*(weighted(n, w) for n, w in weights.items())))
     return docs.select(F.col(id_col), F.explode(grams).alias("g")).groupBy(id_col, F.col("g.term").alias("term")).agg(F.round(F.sum("g.w"), 6).alias("weight"))
 
 
