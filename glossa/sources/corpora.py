@@ -24,7 +24,7 @@ def wiki_documents(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     d = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<doc\b.*?</doc>)"), F.lit(1))).alias("d"))
     at = lambda name: F.regexp_extract("d", rf'{name}="([^"]*)"', 1)
-    return d.select(at("id").alias("article_id"), at("url").alias("url"), at("title").alias("title"), F.trim(F.regexp_extract("d", r"(?s)^<doc\b[^>]*>(.*)</doc>$", 1)).alias("text"))
+    return d.select(at("id").alias("article_id"), at("url").alias("url"), at("title").alias("title"), F.regexp_extract("d", r"(?s)^<doc\b[^>]*>\s*(.*?)\s*</doc>$", 1).alias("text"))
 
 
 def bioc_pairs(spark: SparkSession, path: str) -> DataFrame:

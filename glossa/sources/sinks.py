@@ -15,7 +15,7 @@ def write_relation(df: DataFrame, path: str, *by: str) -> None:
 def append_report(df: DataFrame, path: str) -> None:
     """CSV report with header, appended; maps and arrays become JSON (K-03, K-05, K-08)."""
     flat = df.select(*(F.to_json(c).alias(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in df.dtypes))
-    flat.write.mode("append").option("header", True).csv(path)
+    flat.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
 def read_confidences(spark, path: str) -> DataFrame:
