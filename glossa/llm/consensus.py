@@ -33,12 +33,12 @@ ANNOTATORS_BROADCAST = 200_000
 
 def acronym_label(c):
     """Trimmed, without dots and without a final lower-case s."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.trim(c), r"\.", "")), r"(?<=.)s$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)\.|^\s+|\s+(?=\.*$)", ""), r"(?<=.)s$", "")
 
 
 def expansion_label(c):
     """Lower case, trimmed, with single blanks for hyphens and white space."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[-‐‑\s]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[-‐‑\s]+", " "))
 
 
 def _entries(df: DataFrame, column: str, *keys: str) -> DataFrame:

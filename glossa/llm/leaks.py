@@ -25,7 +25,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +35,11 @@ WORDS, LETTERS = 5, 9
 HELD = 0.33
 PASSAGE_TOKENS = 4_000_000
 SHARD_CHARS = 8_000_000
-#: A passage window found in more documents than this, most of which hold little
-#: else of the passage, is a notice or phrase and counts for none of them.
-NOTICE_DOCS, NOTICE_ALONE = 3, 0.5
+#: A run of at most ``NOTICE_TOKENS`` places of a passage is a notice or phrase,
+#: and counts for no document, if more than ``NOTICE_DOCS`` documents hold it
+#: while most of them hold little else of the passage, or if it stands in
+#: ``NOTICE_TIMES`` as many documents as the usual place of the passage (and ten more).
+NOTICE_TOKENS, NOTICE_DOCS, NOTICE_ALONE, NOTICE_TIMES = 30, 3, 0.5, 4
 
 _TAG = regex.compile(r"<[^<>]{0,200}>")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\W_\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
@@ -220,7 +222,14 @@ def _held(src: DataFrame, rows: list[tuple[int, str]], id_type, held: float, ite
     seen = spread_cells.groupBy("item", "cell").agg(
         F.count("*").alias("docs"), F.sum((~F.col("rich")).cast("int")).alias("alone")
     )
-    notice = seen.where((F.col("alone") > NOTICE_DOCS) & (F.col("alone") > NOTICE_ALONE * F.col("docs"))).select("item", "cell")
+    usual = seen.groupBy("item").agg(F.count("*").alias("k"), F.percentile("docs", F.lit(0.5)).alias("mid")).join(F.broadcast(sizes), "item")
+    usual = usual.select("item", F.when(F.col("k") * 2 >= F.col("size"), F.col("mid")).otherwise(0.0).alias("usual"))
+    often = (F.col("alone") > NOTICE_DOCS) & (F.col("alone") > NOTICE_ALONE * F.col("docs")) | (F.col("docs") > 10 + NOTICE_TIMES * F.col("usual"))
+    flagged = seen.join(usual, "item").where(often).select("item", "cell")
+    # Runs of flagged places; the table has at most the tokens of the passages of this block.
+    run = F.col("cell") - F.row_number().over(Window.partitionBy("item").orderBy("cell"))
+    flagged = flagged.withColumn("run", run).withColumn("n", F.count("*").over(Window.partitionBy("item", "run")))
+    notice = flagged.where(F.col("n") <= NOTICE_TOKENS).select("item", "cell")
     notice = F.broadcast(notice)  # at most the tokens of the passages of this block
     common = notice.groupBy("item").agg(F.count("*").alias("common"))
     own = (
