@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +29,29 @@ def session(app: str = "glossa", cores: str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session, wherever they run.
+
+    Spark copies the archive to every executor, also to those that join later.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_glossa_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="glossa-py-"), "glossa.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("glossa", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._glossa_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,6 +100,7 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     A no-op on large inputs, whose scan already has many splits; a single small
     file would otherwise keep one core busy with all of a Python stage.
     """
+    ship(df.sparkSession)
     n = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
