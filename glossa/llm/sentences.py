@@ -210,13 +210,10 @@ def learn_model(counts: DataFrame) -> DataFrame:
     """``(lang, kind, w, final)``: abbreviations, sentence starters and Thai edges by log-likelihood."""
     from glossa.runtime import cut
 
-    pooled = counts.where(F.col("lang").isin(*CASED, ANY_LATIN)).withColumn("lang", F.lit(ANY_LATIN))
-    counts = cut(
-        counts.where(F.col("lang") != ANY_LATIN)
-        .unionByName(pooled)
-        .groupBy("lang", "kind", "a", "b")
-        .agg(F.sum("n").alias("n"))
-    )
+    # Latin languages count for themselves and for texts whose language isn't given.
+    cased = F.col("lang").isin(*CASED)
+    keys = F.when(cased, F.array("lang", F.lit(ANY_LATIN))).otherwise(F.array("lang"))
+    counts = cut(counts.withColumn("lang", F.explode(keys)).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")))
     words = counts.where(F.col("kind").isin("plain", "period"))
     totals = words.groupBy("lang").agg(
         F.sum("n").alias("N"), F.sum(F.when(F.col("kind") == "period", F.col("n")).otherwise(0)).alias("NP")
