@@ -66,6 +66,7 @@ def _kinds() -> np.ndarray:
 
 
 _B = np.uint32(0x9E3779B1)
+_END = "\x1e"
 
 
 @dataclass
@@ -80,12 +81,11 @@ class Features:
 def features(sentences: list[str]) -> Features:
     """Features of a list of sentences, computed over one array of code points."""
     n = len(sentences)
-    text = "\n".join(s.lower() for s in sentences) + "\n"
+    text = _END.join(sentences).lower() + _END
+    if text.count(_END) != n:
+        return features([s.replace(_END, " ") for s in sentences])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.flatnonzero(codes == 10)
-    if len(ends) != n:  # a sentence holds line breaks
-        sentences = [s.replace("\n", " ") for s in sentences]
-        return features(sentences)
+    ends = np.flatnonzero(codes == ord(_END))
     owner = np.zeros(len(codes), np.int32)
     owner[ends[:-1] + 1] = 1
     owner = np.cumsum(owner, dtype=np.int32)
@@ -101,7 +101,7 @@ def features(sentences: list[str]) -> Features:
             h *= np.uint32(0x01000193)
             h += plain[d : d + m]
             if 0 < d < size - 1:
-                ok &= codes[d : d + m] != 10
+                ok &= codes[d : d + m] != ord(_END)
         at = np.flatnonzero(ok)
         h = h[at] * np.uint32(0x9E3779B1)
         out.char.append(((h >> np.uint32(32 - CHAR_BITS)).astype(np.int32), owner[at]))
@@ -158,12 +158,11 @@ class LevelModel:
         self.norms[""] = (f.dense.mean(0), f.dense.std(0) + 0.05)
         self.words = {l: frozenset(w for t, k in zip(texts, langs) if k == l for w in regex.findall(r"\p{L}+", t.lower())) for l in set(langs)}
         n = len(texts)
-        parts = [(_counted(*c, CHAR_SLOTS, 3, n), CHAR_SCALE) for c in f.char] + [(_counted(*f.word, WORD_SLOTS, 2, n), WORD_SCALE)]
-        blocks = [scale * x / np.maximum(total, 1)[:, None] for (_, x, total), scale in parts]
+        parts = [_counted(*c, CHAR_SLOTS, 3, n, CHAR_SCALE) for c in f.char] + [_counted(*f.word, WORD_SLOTS, 2, n, WORD_SCALE)]
         lengths = self._lengths(f.dense, langs)
         kernel = 1.0 + lengths @ lengths.T
-        for b in blocks:
-            kernel += (b @ b.T).astype(np.float64)
+        for _, x in parts:
+            kernel += x @ x.T
         # Least-squares estimates of the probability of each level, and of the level itself.
         target = np.column_stack([np.eye(LEVELS)[y[doc] - 1], y[doc] - 3.0])
         ridge = SENTENCE_PENALTY * np.bincount(doc)[doc] / np.mean(np.bincount(doc)[doc])  # every sample counts alike
@@ -179,9 +178,9 @@ class LevelModel:
         self.mean = self.mean + dual.sum(0)
         self.length_w = lengths.T @ dual
         tables = []
-        for ((use, _, _), _), b, size in zip(parts, blocks, [CHAR_SLOTS] * len(f.char) + [WORD_SLOTS]):
+        for (use, x), size in zip(parts, [CHAR_SLOTS] * len(f.char) + [WORD_SLOTS]):
             w = np.zeros((size, LEVELS + 1), np.float32)
-            w[use] = b.T @ dual
+            w[use] = x.T @ dual.astype(np.float32)
             tables.append(w)
         self.char_w, self.word_w = tables[:-1], tables[-1]
         d = self._document(seen, lengths, doc, len(samples))
@@ -235,15 +234,16 @@ class LevelModel:
         return max((l for l in CASED if l in self.words), key=lambda l: (len(words & self.words[l]), l), default=ANY_LATIN)
 
 
-def _counted(slots: np.ndarray, own: np.ndarray, size: int, least: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots in use, counts by sentence, number of all features by sentence)."""
+def _counted(slots: np.ndarray, own: np.ndarray, size: int, least: int, n: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(slots in use, their scaled shares of each sentence's features)."""
     use = np.flatnonzero(np.bincount(slots, minlength=size) >= least)
     at = np.full(size, -1, np.int64)
     at[use] = np.arange(len(use))
     x = np.zeros((n, len(use)), np.float32)
     col = at[slots]
     np.add.at(x, (own[col >= 0], col[col >= 0]), 1)
-    return use, x, np.bincount(own, minlength=n).astype(np.float32)
+    x *= (scale / np.maximum(np.bincount(own, minlength=n), 1)).astype(np.float32)[:, None]
+    return use, x
 
 
 def train_levels(samples: DataFrame, splitter: Splitter, lang_col: str = "lang", text_col: str = "text", level_col: str = "reading_level") -> LevelModel:
