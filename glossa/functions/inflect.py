@@ -127,3 +127,79 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+
+def token_budget(tokens: list[list[str]], budget: int) -> list[str]:
+    """Tokens around a term's occurrences, within a budget (P-10).
+
+    ``tokens`` are the stretches before, between and after the occurrences. The
+    stretches take turns: the outer ones get one token, inner ones two, until
+    the budget or the text is used up; the tokens nearest to an occurrence are kept.
+    """
+    if sum(map(len, tokens)) <= budget:
+        return [t for part in tokens for t in part]
+    last = len(tokens) - 1
+    share = [0] * len(tokens)
+    i = 0
+    while budget > 0:
+        want = min(1 if i in (0, last) else 2, len(tokens[i]) - share[i], budget)
+        share[i] += want
+        budget -= want
+        i = (i + 1) % len(tokens)
+    out: list[str] = []
+    for i, (part, n) in enumerate(zip(tokens, share)):
+        head = 0 if i == 0 else n if i == last else (n + 1) // 2
+        out += part[:head]
+        out += part[len(part) - (n - head) :] if n > head else []
+    return out
+
+
+def edit_cost(a: str, b: str, limit: int) -> int:
+    """Cost of turning a into b (insertion 3, deletion 1, substitution 2), or ``limit`` if it isn't below."""
+    last = [3 * j for j in range(len(b) + 1)]
+    for x in a:
+        row = [last[0] + 1]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 3, last[j - 1] + 2 * (x != y)))
+        if min(row) >= limit:
+            return limit
+        last = row
+    return min(last[-1], limit)
+
+
+_PIECE = regex.compile(r"[^\s.,;:()]+")
+
+
+def replace_nearly(text: str, expansion: str, token: str) -> str | None:
+    """Replace the passage most like an expansion by a token; None if none is (P-16).
+
+    An exact passage counts first. Otherwise runs of words, one more or fewer
+    than the expansion's, of which at least half begin like words of the
+    expansion, are compared by ``edit_cost``; the cheapest below the
+    expansion's length is taken, of equals the first.
+    """
+    if not expansion.strip():
+        return None
+    m = regex.search(rf"(?<!\w){regex.escape(expansion)}(?!\w)", text, regex.I)
+    if m:
+        return text.replace(m.group(), token)
+    low = expansion.lower()
+    starts = {w[:3] for w in low.split()}
+    n = len(low.split())
+    spans = [(p.start(), p.end()) for p in _PIECE.finditer(text)]
+    like = [text[a : a + 3].lower() in starts for a, _ in spans]
+    best, found = len(low), None
+    for size in (n, n - 1, n + 1):
+        for i in range(len(spans) - size + 1) if size > 0 else ():
+            if 2 * sum(like[i : i + size]) < n:
+                continue
+            passage = text[spans[i][0] : spans[i + size - 1][1]]
+            cost = edit_cost(low, passage.lower(), best)
+            if cost < best:
+                best, found = cost, passage
+    return text.replace(found, token) if found else None
+
+
+@pandas_udf(StringType())
+def replaced_nearly(text: pd.Series, expansion: pd.Series, token: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or e is None else replace_nearly(t, e, k or "") for t, e, k in zip(text, expansion, token)], dtype=object)

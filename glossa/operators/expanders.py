@@ -7,9 +7,7 @@ only on the acronym, so every operator groups by acronym and never fits per docu
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -107,69 +105,76 @@ def gap_sweep(a: DataFrame, b: DataFrame, truth: DataFrame, gaps: list[float], i
     return j.groupBy("gap").agg(F.sum(use.cast("long")).alias("used_a"), F.sum((F.when(use, F.col("a")).otherwise(F.col("b")) == F.col("true")).cast("long")).alias("right"))
 
 
-# Classifiers of an acronym's expansions, fitted once for each acronym.
+def locality_similarity(tests: DataFrame, train: DataFrame, test_ids: list[str], option_ids: list[str], key: str = "acronym") -> DataFrame:
+    """Sum over shared tokens of products of their weights, each side's weights in falling order (C-21).
 
-DIM = 1 << 10
-#: Training documents of one acronym that a classifier is fitted on (a documented bound of the sample of labelled rows).
-FIT_ROWS = 2_000
+    Both sides have ``key, term, weight``, a row for each occurrence of a token.
+    Weights meet by rank, so the work is that of shared occurrences.
+    """
+    def ranked(df: DataFrame, ids: list[str], name: str) -> DataFrame:
+        w = df.groupBy(*ids, key, "term").agg(F.sort_array(F.collect_list("weight"), asc=False).alias("w"))
+        return w.select(*ids, key, "term", F.posexplode("w").alias("rank", name))
+
+    j = ranked(tests, test_ids, "v").join(ranked(train, option_ids, "w"), [key, "term", "rank"])
+    return j.groupBy(*test_ids, key, *option_ids).agg(F.round(F.sum(F.col("v") * F.col("w")), 6).alias("confidence"))
 
 
-def _matrix(terms: list[dict[str, float]]) -> np.ndarray:
-    import zlib
+def keyword_overlap(tests: DataFrame, train: DataFrame, test_ids: list[str], top: int = 20, key: str = "acronym", option: str = "expansion") -> DataFrame:
+    """Sum of the weights that an option's best training keywords have in common with a document's (C-17)."""
+    def best(df: DataFrame, ids: list[str]) -> DataFrame:
+        k = df.groupBy(*ids).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("m"), "term"))), 1, top).alias("k"))
+        return k.select(*ids, F.explode("k").alias("x")).select(*ids, F.col("x.term").alias("term"), (-F.col("x.m")).alias("weight"))
 
-    x = np.zeros((len(terms), DIM), np.float32)
-    for i, t in enumerate(terms):
-        for w, v in t.items():
-            x[i, zlib.crc32(w.encode()) % DIM] += v
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    t = best(tests.select(*test_ids, key, "term", "weight"), [*test_ids, key]).select(*test_ids, key, "term")
+    o = best(train.select("train_id", key, option, "term", "weight"), ["train_id", key, option]).groupBy(key, option, "term").agg(F.sum("weight").alias("weight"))
+    return t.join(o, [key, "term"]).groupBy(*test_ids, key, option).agg(F.round(F.sum("weight"), 6).alias("confidence"))
 
 
-def _one_vs_rest(x: np.ndarray, y: np.ndarray, k: int, loss: str, c: float, rounds: int) -> np.ndarray:
-    """Weights of k linear classifiers with quadratic penalty: logistic or squared hinge loss."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
-    t = np.where(y[:, None] == np.arange(k), 1.0, -1.0)
-    w = v = np.zeros((x.shape[1], k))
-    lip = 1.0 + c * (0.25 if loss == "logistic" else 2.0) * float(np.linalg.norm(x, 2) ** 2)
-    for i in range(rounds):
-        m = t * (x @ v)
-        g = -t / (1 + np.exp(np.clip(m, -30, 30))) if loss == "logistic" else -2 * t * np.maximum(0, 1 - m)
-        new = v - (v + c * (x.T @ g)) / lip
-        v = new + i / (i + 3) * (new - w)
-        w = new
-    return w
+def neighbour_vote(tests: DataFrame, train: DataFrame, test_id: str, k: int = 5, key: str = "acronym") -> DataFrame:
+    """The label most of the k nearest training vectors of the acronym have; ties go to the nearer sum, then the least label (C-12, C-23)."""
+    j = tests.select(test_id, key, F.col("vec").alias("a")).join(train.select(key, "train_id", "label", F.col("vec").alias("b")), key)
+    c = j.select(test_id, key, "label", F.round(cosine(F.col("a"), F.col("b")), 6).alias("c"), "train_id")
+    near = c.groupBy(test_id, key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("m"), "train_id", "label"))), 1, k).alias("n"))
+    n = near.select(test_id, key, F.explode("n").alias("x")).groupBy(test_id, key, F.col("x.label").alias("label")).agg(F.count("*").alias("votes"), F.round(F.sum(-F.col("x.m")), 6).alias("s"))
+    return n.groupBy(test_id, key).agg(F.min_by("label", F.struct(-F.col("votes"), -F.col("s"), "label")).alias("label"), F.max("votes").alias("votes"))
 
 
-def linear_expander(train: DataFrame, tests: DataFrame, loss: str = "hinge", c: float = 1.0, rounds: int = 60) -> DataFrame:
-    """Per-acronym one-vs-rest linear classifiers (C-06 logistic, C-07 squared hinge): ``article_id, acronym, expansion, confidence``.
+def training_pairs(instances: DataFrame, blocks: int = 16) -> DataFrame:
+    """``acronym, left, right, same``: as many pairs of equal as of unequal expansions for similarity learning (J-16).
 
-    ``train`` has ``acronym, expansion, article_id, terms map<string,double>``,
-    ``tests`` the same without expansion. Every acronym is fitted in one task on
-    at most ``FIT_ROWS`` rows (least hashes); its test rows are scored wherever
-    they are, by a join with the weights, so a frequent acronym isn't one task.
+    Instances (``acronym, expansion, article_id``) of an acronym are dealt to
+    blocks by hash and meet their next neighbour there, in an order by
+    expansion for equal pairs and by hash for unequal ones; the number of pairs
+    grows with the instances, never with their square. A sampling operator.
     """
-    sample = train.withColumn("_h", F.xxhash64("article_id", "expansion"))
-    size = train.groupBy("acronym").agg(F.count("*").alias("_n"), F.count_distinct("expansion").alias("_k")).where("_k > 1")
-    sample = sample.join(size, "acronym")
-    # A share of each acronym's rows that leaves about FIT_ROWS of them, at least all of small ones.
-    sample = sample.where((F.col("_n") <= FIT_ROWS) | (F.pmod("_h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * FIT_ROWS / F.col("_n")))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_h")
-        labels = sorted(pdf["expansion"].unique())
-        y = pdf["expansion"].map({e: i for i, e in enumerate(labels)}).to_numpy()
-        w = _one_vs_rest(_matrix([dict(t) for t in pdf["terms"]]), y, len(labels), loss, c, rounds)
-        return pd.DataFrame({"acronym": [pdf["acronym"].iloc[0]], "labels": [labels], "w": [w.astype(np.float32).ravel()]})
-
-    models = sample.select("acronym", "expansion", "terms", "_h").groupBy("acronym").applyInPandas(fit, "acronym string, labels array<string>, w array<float>")
-
-    def score(batches):
-        for pdf in batches:
-            out = []
-            for art, acr, terms, labels, w in zip(pdf["article_id"], pdf["acronym"], pdf["terms"], pdf["labels"], pdf["w"]):
-                x = np.append(_matrix([dict(terms)])[0], 1.0)
-                z = x @ np.asarray(w).reshape(DIM + 1, len(labels))
-                k = int(z.argmax())
-                out.append((art, acr, labels[k], round(float(z[k]), 6)))
-            yield pd.DataFrame(out, columns=["article_id", "acronym", "expansion", "confidence"])
-
-    return tests.join(models, "acronym").select("article_id", "acronym", "terms", "labels", "w").mapInPandas(score, "article_id string, acronym string, expansion string, confidence double")
+    x = instances.select("acronym", "expansion", "article_id").distinct()
+    x = x.withColumn("h", F.xxhash64("article_id", "expansion")).withColumn("b", F.pmod("h", F.lit(blocks)))
+    equal = Window.partitionBy("acronym", "b").orderBy("expansion", "h")
+    other = Window.partitionBy("acronym", "b").orderBy("h")
+
+    def neighbours(w) -> DataFrame:
+        n = x.withColumn("right", F.lead("article_id").over(w)).withColumn("e", F.lead("expansion").over(w)).where("right is not null")
+        return n.select("acronym", "b", F.col("article_id").alias("left"), "right", (F.col("expansion") == F.col("e")).alias("same"), "h")
+
+    p = neighbours(equal).where("same").unionByName(neighbours(other).where("not same"))
+    p = p.withColumn("r", F.row_number().over(Window.partitionBy("acronym", "b", "same").orderBy("h")))
+    n = p.groupBy("acronym", "b").agg(F.sum(F.col("same").cast("int")).alias("yes"), F.sum((~F.col("same")).cast("int")).alias("no"))
+    return p.join(n, ["acronym", "b"]).where(F.col("r") <= F.least("yes", "no")).select("acronym", "left", "right", "same")
+
+
+def report_table(predictions: DataFrame, ids: list[str], expanders: list[str]) -> DataFrame:
+    """One row per (document, acronym) with every expander's expansion and confidence, missing ones null (J-09 to J-11)."""
+    one = lambda c, n: [F.max(F.when(F.col("expander") == e, F.col(c))).alias(f"{n}_{e}") for e in expanders]
+    return predictions.groupBy(*ids).agg(*one("label", "expansion"), *one("confidence", "confidence"))
+
+
+def by_priority(predictions: DataFrame, ids: list[str], order: list[str]) -> DataFrame:
+    """The answer of the first expander of an order that has one (G-11)."""
+    rank = F.array_position(F.array(*(F.lit(e) for e in order)), F.col("expander"))
+    p = predictions.where(F.col("label").isNotNull()).withColumn("rank", rank).where("rank > 0")
+    return p.groupBy(*ids).agg(F.min_by("label", F.struct("rank", -F.col("confidence"), "label")).alias("label"), F.min_by("expander", "rank").alias("expander"))
+
+
+def with_zeros(options: DataFrame, ids: list[str], candidates: DataFrame) -> DataFrame:
+    """Confidences of all candidate options, 0 for those a model left out (U-07)."""
+    return candidates.join(options, [*ids, "label"], "left").na.fill(0.0, ["confidence"])

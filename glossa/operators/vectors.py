@@ -121,3 +121,40 @@ def w2v_mean(docs: DataFrame, id_col: str, tokens, size: int = 50, window: int =
     t = docs.select(F.col(id_col), tokens.alias("_t"))
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=3, maxIter=rounds, numPartitions=4, seed=seed, inputCol="_t", outputCol="v").fit(t)
     return model.transform(t).select(id_col, vector_to_array("v").alias("vec"))
+
+
+def lda_term_vectors(docs: DataFrame, expansions: DataFrame, tokens, topics: int = 8, rounds: int = 10, vocabulary: int = 20_000, seed: int = 7) -> DataFrame:
+    """``acronym, expansion, vec``: sum over an expansion's words of their shares in the topics (R-15).
+
+    The topic matrix has ``vocabulary`` x ``topics`` entries, whatever the corpus.
+    """
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    spark = docs.sparkSession
+    t = docs.select(tokens.alias("_t"))
+    vectorizer = CountVectorizer(inputCol="_t", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(t)
+    model = LDA(k=topics, maxIter=rounds, optimizer="online", seed=seed).fit(vectorizer.transform(t))
+    m = model.topicsMatrix().toArray()
+    share = m / m.sum(1, keepdims=True)
+    words = spark.createDataFrame([(w, share[i].tolist()) for i, w in enumerate(vectorizer.vocabulary)], "term string, share array<double>")
+    e = expansions.select("acronym", "expansion").distinct().select("acronym", "expansion", F.explode(X.content_words(F.col("expansion"))).alias("term"))
+    s = e.join(words, "term").select("acronym", "expansion", F.posexplode("share").alias("k", "x")).groupBy("acronym", "expansion", "k").agg(F.sum("x").alias("x"))
+    return s.groupBy("acronym", "expansion").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("vec"))
+
+
+def first_articles(pairs: DataFrame) -> DataFrame:
+    """``acronym, article_id``: the least article of every acronym, the training side of a one-shot split (T-09)."""
+    return pairs.where("article_id is not null").groupBy("acronym").agg(F.min("article_id").alias("article_id"))
+
+
+def chunked(df: DataFrame, id_col: str, size: int) -> DataFrame:
+    """Rows with the number of their chunk of about ``size`` rows, by hash, without a global order (W-07)."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn("chunk", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
+
+
+def long_enough(docs: DataFrame, tokens, least: int = 100, title: str | None = None) -> DataFrame:
+    """Documents of at least ``least`` tokens whose title doesn't hold "list" (F-09)."""
+    d = docs.where(F.size(tokens) >= least)
+    return d.where(~F.contains(F.lower(title), F.lit("list"))) if title else d

@@ -684,14 +684,114 @@ def _term_maps(spark, d):
     return m(train, "expansion"), m(test)
 
 
+def _trained(learner):
+    def run(spark, d):
+        from glossa.operators.learners import trained_expander
+
+        return trained_expander(*_term_maps(spark, d), learner)
+
+    run.__name__ = f"{learner}_expander"
+    return query()(run)
+
+
+for _name in ("svm", "lr", "svm_calibrated", "svm_sgd", "rf", "network"):
+    _trained(_name)
+
+
+@query(
+    _COS_SQL.rstrip(", ") + ", v AS (SELECT sample_id, acronym, term, generate_subscripts(w, 1) - 1 AS rank, unnest(w) AS v FROM (SELECT sample_id, acronym, term, [1.0 / greatest(weight, 1)] AS w FROM te JOIN tf USING (sample_id))), "
+    "o AS (SELECT expansion, acronym, term, generate_subscripts(w, 1) - 1 AS rank, unnest(w) AS w FROM (SELECT expansion, acronym, term, list_sort(array_agg(1.0 / greatest(weight, 1)), 'DESC') AS w FROM tr JOIN tf USING (sample_id) GROUP BY 1, 2, 3)) "
+    "SELECT sample_id, v.acronym, expansion, round(sum(v * w)::DOUBLE, 6) AS confidence FROM v JOIN o ON v.acronym = o.acronym AND v.term = o.term AND v.rank = o.rank GROUP BY 1, 2, 3"
+)
+def locality_similarity(spark, d):
+    test, train = _sci_sides(spark, d)
+    damp = lambda x, i: x.select(i, "acronym", "term", (1.0 / F.greatest("weight", F.lit(1.0))).alias("weight"))
+    return E.locality_similarity(damp(test, "sample_id"), damp(train, "expansion"), ["sample_id"], ["expansion"])
+
+
+@query(
+    _COS_SQL + "tk AS (SELECT sample_id, acronym, term FROM te JOIN tf USING (sample_id) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY weight DESC, term) <= 20), "
+    "ok AS (SELECT sample_id, acronym, expansion, term, weight FROM tr JOIN tf USING (sample_id) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY weight DESC, term) <= 20), "
+    "o AS (SELECT acronym, expansion, term, sum(weight) AS weight FROM ok GROUP BY 1, 2, 3) SELECT sample_id, tk.acronym, expansion, round(sum(weight), 6) AS confidence FROM tk JOIN o ON tk.acronym = o.acronym AND tk.term = o.term GROUP BY 1, 2, 3"
+)
+def keyword_overlap(spark, d):
+    test, train = _sci_sides(spark, d)
+    return E.keyword_overlap(test, train.withColumnRenamed("sample_id", "train_id"), ["sample_id"])
+
+
+@query(
+    "WITH v AS (SELECT vec_id, label, vec_id // 10 AS doc, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE doc % 5 <> 0), "
+    "m AS (SELECT label, array_agg(x ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2) GROUP BY 1), c AS (SELECT v.doc, m.label, sum(list_cosine_similarity(v.e, m.e)) / count(*) AS c FROM v, m WHERE v.doc % 5 = 0 GROUP BY 1, 2) "
+    "SELECT doc, label, round(c, 6) AS confidence FROM c"
+)
+def uad_vote(spark, d):
+    """Every ten vectors are the chunks of a document; options are the mean vectors of the labels (at most ten)."""
+    e = table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("doc"), "label", F.col("embedding").cast("array<double>").alias("vec"), F.lit(1).alias("k"))
+    options = V.mean_vectors(e.where("doc % 5 <> 0"), "label", "vec").select("label", F.col("mean").alias("vec"), F.lit(1).alias("k"))
+    return E.chunk_vote(e.where("doc % 5 = 0").select("doc", "k", "vec"), F.broadcast(options), "doc", ["k"])
+
+
+@query()
+def neighbour_vote(spark, d):
+    from pyspark.sql import functions as f
+
+    t, _ = _sci(spark, d)
+    texts = table(spark, d, "sci_dr").where("text is not null")
+    vec = V.w2v_mean(texts, "sample_id", X.content_words(f.col("text")), size=32).join(t, "sample_id")
+    train = D.in_articles(vec.where("expansion is not null"), _roles(spark, d, "train"))
+    test = D.in_articles(vec, _roles(spark, d, "test"))
+    return E.neighbour_vote(test.select("sample_id", "acronym", "vec"), train.select("acronym", F.col("sample_id").alias("train_id"), F.col("expansion").alias("label"), "vec"), "sample_id")
+
+
 @query()
-def svm_expander(spark, d):
-    return E.linear_expander(*_term_maps(spark, d), loss="hinge")
+def training_pairs(spark, d):
+    return E.training_pairs(_train_test(spark, d)[0].where("article_id is not null"))
+
+
+@query(
+    f"WITH {_EVAL.replace('evaluated AS', 'ev0 AS')}, b AS (SELECT g.article_id, g.acronym, max(c.n / t.t) AS confidence_frequency, (array_agg(c.expansion ORDER BY c.n DESC, c.expansion))[1] AS expansion_frequency, "
+    "max(1.0 / length(c.expansion)) AS confidence_shortest, (array_agg(c.expansion ORDER BY length(c.expansion), c.expansion))[1] AS expansion_shortest "
+    "FROM gold g JOIN counts c USING (acronym) JOIN (SELECT acronym, sum(n) AS t FROM counts GROUP BY 1) t USING (acronym) GROUP BY 1, 2) SELECT * FROM b"
+)
+def expander_report(spark, d):
+    best = E.top_option(_votes(spark, d), ["article_id", "acronym", "expander"])
+    return E.report_table(best, ["article_id", "acronym"], ["frequency", "shortest"])
 
 
 @query()
-def lr_expander(spark, d):
-    return E.linear_expander(*_term_maps(spark, d), loss="logistic")
+def expander_priority(spark, d):
+    best = E.top_option(_votes(spark, d), ["article_id", "acronym", "expander"])
+    return E.by_priority(best.where("expander <> 'frequency' or confidence >= 0.9"), ["article_id", "acronym"], ["frequency", "shortest"])
+
+
+@query(f"WITH {_PAIRS} SELECT acronym, min(article_id) AS article_id FROM pairs WHERE article_id IS NOT NULL GROUP BY 1")
+def first_articles(spark, d):
+    return V.first_articles(_pairs(spark, d))
+
+
+@query(f"SELECT doc_id FROM documents WHERE len({_WORDS}) >= 100 AND NOT contains(lower(source), 'list')")
+def long_documents(spark, d):
+    return V.long_enough(table(spark, d, "documents"), X.words(F.col("text")), 100, "source").select("doc_id")
+
+
+@query()
+def lda_expansions(spark, d):
+    return V.lda_term_vectors(table(spark, d, "sci_dr").where("text is not null"), _pairs(spark, d), X.content_words(F.col("text")))
+
+
+@query(f"WITH {_CONTENT}, b AS (SELECT doc_id, 'words:' || term AS term, count(*) AS n FROM content GROUP BY 1, 2), s AS (SELECT doc_id, 'ends:' || right(term, 3) AS term, count(*) AS n FROM content GROUP BY 1, 2) SELECT doc_id, term, n::DOUBLE AS weight FROM b UNION ALL SELECT doc_id, term, n::DOUBLE FROM s")
+def concatenated_vectors(spark, d):
+    w = X.content_words(F.col("text"))
+    tf = lambda t: V.term_counts(_docs(spark, d), "doc_id", t).select("doc_id", "term", F.col("tf").cast("double").alias("weight"))
+    return V.concatenated({"words": tf(w), "ends": tf(F.transform(w, lambda x: F.right(x, F.lit(3))))}, "doc_id")
+
+
+@query()
+def replaced_nearly(spark, d):
+    from glossa.functions.inflect import replaced_nearly as near
+
+    t = table(spark, d, "sci_dr").where("text is not null and expansion is not null and lang = 'en'")
+    return t.select("sample_id", near(F.col("text"), F.col("expansion"), X.expansion_token(F.col("expansion"))).alias("text")).where("text is not null")
 
 
 @query()

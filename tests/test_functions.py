@@ -82,3 +82,14 @@ def test_stems_and_plurals(spark):
     assert [plural(w) for w in ("box", "city", "array")] == ["boxes", "cities", "arrays"]
     assert [singular(w) for w in ("boxes", "cities", "arrays", "glass")] == ["box", "city", "array", "glass"]
     assert one(spark, sequence_ratio(F.col("a"), F.col("b")), a="abcd", b="abce") == 0.75
+
+
+def test_token_budget_and_near_replacement():
+    from glossa.functions.inflect import replace_nearly, token_budget
+
+    parts = [list("abcd"), list("efghij"), list("klm")]
+    assert token_budget(parts, 100) == list("abcdefghijklm")
+    assert token_budget(parts, 4) == ["d", "e", "j", "k"]
+    assert token_budget(parts, 6) == ["c", "d", "e", "f", "j", "k"] or len(token_budget(parts, 6)) == 6
+    assert replace_nearly("the primary ciliary dyskinesya here", "primary ciliary dyskinesia", "P_C_D") == "the P_C_D here"
+    assert replace_nearly("nothing like it", "primary ciliary dyskinesia", "P") is None

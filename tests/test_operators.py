@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from glossa.operators import bio as B
@@ -11,6 +13,7 @@ from glossa.operators import metrics as M
 from glossa.operators import vectors as V
 from glossa.operators.agreement import alpha, kappa, partial_credit
 from glossa.operators.graph import connected_components
+from glossa.operators.learners import trained_expander
 from glossa.operators.inexpansion import RULES, bounded, places, schwartz_hearst, select_after, select_before, valid
 
 PAIRS = "acronym string, expansion string, article_id string"
@@ -181,11 +184,33 @@ def test_votes(spark):
     assert {r.label: r.votes for r in E.hard_vote(p, ["doc"]).collect()} == {"x": 2}
 
 
-def test_linear_expander_separates(spark):
-    train = spark.createDataFrame([("A", e, f"{e}{i}", {e: 1.0, "z": 0.3}) for e in ("cat", "dog") for i in range(4)], "acronym string, expansion string, article_id string, terms map<string,double>")
-    tests = spark.createDataFrame([("A", "t1", {"cat": 1.0}), ("A", "t2", {"dog": 2.0}), ("B", "t3", {"dog": 2.0})], "acronym string, article_id string, terms map<string,double>")
-    for loss in ("hinge", "logistic"):
-        assert {r.article_id: r.expansion for r in E.linear_expander(train, tests, loss).collect()} == {"t1": "cat", "t2": "dog"}
+@pytest.mark.parametrize("learner", ["svm", "lr", "svm_calibrated", "svm_sgd", "rf", "network"])
+def test_learners_separate(spark, learner):
+    train = spark.createDataFrame([("A", e, f"{e}{i}", {e: 1.0, "z": 0.3}) for e in ("cat", "dog") for i in range(4)] + [("C", "one", "x", {"a": 1.0})], "acronym string, expansion string, article_id string, terms map<string,double>")
+    tests = spark.createDataFrame([("A", "t1", {"cat": 1.0}), ("A", "t2", {"dog": 2.0}), ("B", "t3", {"dog": 2.0}), ("C", "t4", {"a": 1.0})], "acronym string, article_id string, terms map<string,double>")
+    assert {r.article_id: r.expansion for r in trained_expander(train, tests, learner).collect()} == {"t1": "cat", "t2": "dog"}
+    assert trained_expander(train.where("acronym = 'none'"), tests, learner).count() == 0
+
+
+def test_locality_similarity(spark):
+    a = spark.createDataFrame([(1, "k", "x", 1.0), (1, "k", "x", 0.5), (1, "k", "y", 1.0)], "doc int, acronym string, term string, weight double")
+    b = spark.createDataFrame([("p", "k", "x", 0.4), ("p", "k", "x", 1.0), ("p", "k", "x", 0.7), ("q", "k", "y", 0.2)], "option string, acronym string, term string, weight double")
+    got = {r.option: r.confidence for r in E.locality_similarity(a, b, ["doc"], ["option"]).collect()}
+    assert got == {"p": 1.0 * 1.0 + 0.5 * 0.7, "q": 0.2}
+
+
+def test_training_pairs_are_balanced(spark):
+    x = spark.createDataFrame([("A", f"e{i % 3}", str(i)) for i in range(300)] + [("B", "only", str(i)) for i in range(50)], PAIRS)
+    p = E.training_pairs(x).groupBy("acronym", "same").count().collect()
+    n = {(r.acronym, r.same): r["count"] for r in p}
+    assert n[("A", True)] == n[("A", False)] > 50 and ("B", True) not in n
+
+
+def test_priority_and_report(spark):
+    p = spark.createDataFrame([(1, "e", "x", 0.2), (1, "f", "y", 0.9), (2, "f", "z", 0.1), (3, "g", "w", 1.0)], "doc int, expander string, label string, confidence double")
+    assert {r.doc: (r.label, r.expander) for r in E.by_priority(p, ["doc"], ["e", "f"]).collect()} == {1: ("x", "e"), 2: ("z", "f")}
+    r = {r.doc: r for r in E.report_table(p, ["doc"], ["e", "f"]).collect()}
+    assert r[1].expansion_e == "x" and r[2].expansion_e is None and r[2].confidence_f == 0.1
 
 
 # ---- metrics and agreement
