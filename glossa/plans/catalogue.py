@@ -528,7 +528,11 @@ def locality_weights(spark, d):
     return V.locality(t, "sample_id", "text", "concept")
 
 
-@query()
+@query(
+    "WITH hot AS (SELECT acronym_ AS a FROM sci_dr GROUP BY 1 ORDER BY count(*) DESC, 1 NULLS FIRST LIMIT 1), w AS (SELECT sample_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM sci_dr), "
+    "p AS (SELECT sample_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM w), c AS (SELECT sample_id, i FROM p, hot WHERE term = a) "
+    "SELECT p.sample_id, p.term, count(DISTINCT p.i) AS n FROM p JOIN c ON p.sample_id = c.sample_id AND abs(p.i - c.i) <= 5, hot WHERE p.term <> a GROUP BY 1, 2"
+)
 def window_terms(spark, d):
     t = table(spark, d, "sci_dr")
     hot = t.groupBy("acronym_").count().orderBy(F.desc("count"), "acronym_").first()
@@ -659,7 +663,18 @@ def _vote_truth(spark, d):
     return test.groupBy("article_id", "acronym").agg(F.min("expansion").alias("label"))
 
 
-@query()
+_VOTES = (
+    f"{_SPLIT}, {_GOLD}, counts AS (SELECT acronym, expansion, count(*) AS n FROM train GROUP BY 1, 2), tot AS (SELECT acronym, sum(n) AS t FROM counts GROUP BY 1), "
+    "p AS (SELECT g.article_id, g.acronym, 'frequency' AS expander, c.expansion AS label, c.n / t.t AS confidence FROM gold g JOIN counts c USING (acronym) JOIN tot t USING (acronym) "
+    "UNION ALL SELECT g.article_id, g.acronym, 'shortest', c.expansion, 1.0 / length(c.expansion) FROM gold g JOIN counts c USING (acronym))"
+)
+
+
+@query(
+    f"WITH {_VOTES}, b AS (SELECT article_id, acronym, expander, (array_agg(label ORDER BY confidence DESC, label))[1] AS label, max(confidence) - coalesce((array_agg(confidence ORDER BY confidence DESC, label))[2], -1e9) AS gap FROM p GROUP BY 1, 2, 3), "
+    "j AS (SELECT a.label AS a, a.gap, b.label AS b, g.actual FROM (SELECT * FROM b WHERE expander = 'frequency') a JOIN (SELECT * FROM b WHERE expander = 'shortest') b USING (article_id, acronym) JOIN gold g USING (article_id, acronym)) "
+    "SELECT x.gap::DOUBLE AS gap, CAST(sum((j.gap >= x.gap)::INT) AS BIGINT) AS used_a, CAST(sum((CASE WHEN j.gap >= x.gap THEN a ELSE b END = actual)::INT) AS BIGINT) AS \"right\" FROM j, (VALUES (0.0), (0.1), (0.3), (0.5), (0.9)) x(gap) GROUP BY 1"
+)
 def gap_sweep(spark, d):
     v = _votes(spark, d)
     pick = lambda n: v.where(F.col("expander") == n).drop("expander")
@@ -758,7 +773,10 @@ def expander_report(spark, d):
     return E.report_table(best, ["article_id", "acronym"], ["frequency", "shortest"])
 
 
-@query()
+@query(
+    f"WITH {_VOTES}, b AS (SELECT article_id, acronym, expander, (array_agg(label ORDER BY confidence DESC, label))[1] AS label, max(confidence) AS c FROM p GROUP BY 1, 2, 3), "
+    "k AS (SELECT * FROM b WHERE expander <> 'frequency' OR c >= 0.9) SELECT article_id, acronym, (array_agg(label ORDER BY expander))[1] AS label, min(expander) AS expander FROM k GROUP BY 1, 2"
+)
 def expander_priority(spark, d):
     best = E.top_option(_votes(spark, d), ["article_id", "acronym", "expander"])
     return E.by_priority(best.where("expander <> 'frequency' or confidence >= 0.9"), ["article_id", "acronym"], ["frequency", "shortest"])
@@ -1065,7 +1083,9 @@ def end_to_end_expand(spark, d):
     return end_to_end(table(spark, d, "documents"), "doc_id", "text", _pairs(spark, d))
 
 
-@query()
+@query(
+    f"WITH {_PAIRS}, {_MF.format(src='pairs')}, a AS ({_upper_sql('[A-Z]{2,8}s?')}) SELECT doc_id, a.acronym, mf.expansion, mf.confidence FROM a LEFT JOIN mf ON a.acronym = mf.acronym"
+)
 def streamed_expansion(spark, d):
     """The documents as a stream, expanded against the dictionary, drained into memory."""
     from glossa.streaming.extraction import document_stream, expanded
