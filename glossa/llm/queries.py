@@ -154,4 +154,19 @@ def p9_profile(spark, sf_dir):
 
 
 QUERIES = {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
-ORACLE: dict[str, str] = {}
+
+_P3_LABELS = (
+    "last AS (SELECT doc_id, annotator, predicted_expansions AS m FROM compare_annotations WHERE doc_id IS NOT NULL AND annotator IS NOT NULL "
+    "QUALIFY row_number() OVER (PARTITION BY doc_id, annotator ORDER BY submitted_at DESC NULLS LAST, row_id DESC) = 1), "
+    "e AS (SELECT doc_id, annotator, unnest(map_entries(m)) AS e FROM last WHERE m IS NOT NULL), "
+    "l AS (SELECT doc_id, annotator, regexp_replace(trim(regexp_replace(trim(e.key), '\\.', '', 'g')), '(.)s$', '\\1') AS acronym, trim(regexp_replace(lower(e.value), '[-\\s]+', ' ', 'g')) AS label FROM e), "
+    "labels AS (SELECT doc_id, acronym, annotator, min(label) AS label FROM l WHERE acronym <> '' AND label <> '' GROUP BY 1, 2, 3)"
+)
+ORACLE: dict[str, str] = {
+    "p3_agreement": (
+        f"WITH {_P3_LABELS}, c AS (SELECT doc_id, acronym, label, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2, 3), i AS (SELECT doc_id, acronym, sum(n) AS m, sum(n * (n - 1)) AS same FROM c GROUP BY 1, 2 HAVING sum(n) > 1), "
+        "o AS (SELECT count(*) AS items, sum(m) AS labels, sum((m * (m - 1) - same) / (m - 1)) AS apart FROM i), s AS (SELECT c.acronym, label, sum(n) AS n FROM c JOIN i ON c.doc_id = i.doc_id AND c.acronym = i.acronym GROUP BY 1, 2), "
+        "t AS (SELECT acronym, sum(n) AS t, sum(n * (n - 1)) AS same FROM s GROUP BY 1 HAVING sum(n) > 1), x AS (SELECT sum((t * (t - 1) - same) / (t - 1)) AS chance FROM t) "
+        "SELECT items, labels::BIGINT AS labels, round(apart / labels, 6) AS observed, round(chance / labels, 6) AS expected, round(CASE WHEN chance > 0 THEN 1 - apart / chance ELSE 1 END, 6) AS alpha FROM o, x"
+    ),
+}
