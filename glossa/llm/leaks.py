@@ -216,9 +216,10 @@ def _held(src: DataFrame, rows: list[tuple[int, str]], id_type, held: float, ite
     cells = lambda df: df.withColumn("cell", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)))
     # Places of the passages that stand mostly in documents without the rest are notices.
     rough = m.groupBy("doc_id", "item").agg(F.sum("length").alias("n"), F.max("length").alias("longest"))
-    likely = rough.join(F.broadcast(sizes), "item").withColumn("rich", F.col("n") >= held * F.col("size"))
-    likely = cut(likely.where((F.col("n") >= 0.15 * F.col("size")) | (F.col("longest") >= 2 * WORDS)).select("doc_id", "item", "size", "rich"))
-    spread_cells = cells(m.join(likely, ["doc_id", "item"])).select("doc_id", "item", "cell", "size", "rich").distinct()
+    likely = rough.join(F.broadcast(sizes), "item").where((F.col("n") >= 0.15 * F.col("size")) | (F.col("longest") >= 2 * WORDS))
+    every = cut(cells(m.join(likely.select("doc_id", "item", "size"), ["doc_id", "item"])).select("doc_id", "item", "cell", "size").distinct())
+    raw = every.groupBy("doc_id", "item").agg(F.count("*").alias("raw"))
+    spread_cells = every.join(raw, ["doc_id", "item"]).withColumn("rich", F.col("raw") >= held * F.col("size"))
     seen = spread_cells.groupBy("item", "cell").agg(
         F.count("*").alias("docs"), F.sum((~F.col("rich")).cast("int")).alias("alone")
     )
@@ -234,11 +235,11 @@ def _held(src: DataFrame, rows: list[tuple[int, str]], id_type, held: float, ite
     common = notice.groupBy("item").agg(F.count("*").alias("common"))
     own = (
         spread_cells.join(notice, ["item", "cell"], "left_anti")
-        .groupBy("doc_id", "item").agg(F.count("*").alias("cells"), F.first("size").alias("size"))
+        .groupBy("doc_id", "item").agg(F.count("*").alias("cells"), F.first("size").alias("size"), F.first("rich").alias("rich"))
         .join(F.broadcast(common), "item", "left")
     )
     part = F.col("cells") / F.greatest(F.col("size") - F.coalesce("common", F.lit(0)), F.lit(1))
-    kept = own.withColumn("part", part).where((F.col("part") >= held) & (F.col("cells") > 2 * WORDS))
+    kept = own.withColumn("part", part).where(F.col("rich") & (F.col("part") >= held) & (F.col("cells") > WORDS))
     best = m.groupBy("doc_id", "item").agg(F.max(F.struct("length", F.negate("at").alias("b"))).alias("x"))
     best = best.where(F.col("x.length") > 2 * WORDS)  # scattered phrases are no passage
     return kept.join(best, ["doc_id", "item"]).join(F.broadcast(sizes.drop("size")), "item").select(
