@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm.sentences import ANY_LATIN, CASED, MODEL_ROWS, Splitter, corpus_counts, language, learn_model
-from glossa.runtime import spread
+from glossa.llm.sentences import (
+    ANY_LATIN, CASED, MODEL_ROWS, Splitter, corpus_counts, language, learn_model, own_splitter, with_own_entries,
+)
+from glossa.runtime import cut, spread
 
 SAMPLES = 20_000
 LEVELS = 5
@@ -246,18 +248,15 @@ def _counted(slots: np.ndarray, own: np.ndarray, size: int, least: int, n: int,
     return use, x
 
 
-def train_levels(samples: DataFrame, splitter: Splitter, lang_col: str = "lang", text_col: str = "text", level_col: str = "reading_level") -> LevelModel:
-    rows = (
-        samples.where(F.col(text_col).isNotNull() & F.col(level_col).between(1, LEVELS))
-        .select(lang_col, level_col, text_col).distinct().orderBy(F.xxhash64(text_col)).limit(SAMPLES).collect()
-    )
+def train_levels(rows, splitter_of) -> LevelModel:
+    """The models of labelled rows (``lang, level, text`` and what ``splitter_of`` needs)."""
     data = []
-    for lang, level, text in rows:
-        text = unmarked(text)
-        lang = language(lang, text)
-        parts = [text[a:b] for a, b in splitter.spans(text, lang)]
+    for r in rows:
+        text = unmarked(r["text"])
+        lang = language(r["lang"], text)
+        parts = [text[a:b] for a, b in splitter_of(r).spans(text, lang)]
         if parts:
-            data.append((lang, int(level), parts))
+            data.append((lang, int(r["level"]), parts))
     if not data:
         raise ValueError("no labelled sample has a text and a level")
     return LevelModel().fit(data)
@@ -274,11 +273,21 @@ def reading_levels(
     empty table; without labelled samples a ValueError is raised.
     """
     spark = docs.sparkSession
-    rows = learn_model(corpus_counts(docs, text_col, lang_col)).limit(MODEL_ROWS + 1).collect()
-    if len(rows) > MODEL_ROWS:
-        raise ValueError("the learned sentence model is larger than its bound; split the documents by language")
-    rows = [tuple(r) for r in rows]
-    shared = spark.sparkContext.broadcast((rows, train_levels(samples, Splitter(rows))))
+    learned = cut(learn_model(corpus_counts(docs, text_col, lang_col)))
+    labelled = (
+        samples.where(F.col("text").isNotNull() & F.col("reading_level").between(1, LEVELS))
+        .select("lang", F.col("reading_level").alias("level"), "text").distinct().orderBy(F.xxhash64("text")).limit(SAMPLES)
+    )
+    src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    entries = [tuple(r) for r in learned.limit(MODEL_ROWS + 1).collect()]
+    if len(entries) <= MODEL_ROWS:
+        every = Splitter(entries)
+        shared = spark.sparkContext.broadcast((entries, train_levels(labelled.collect(), lambda r: every)))
+    else:
+        # The sentence model is too large to send: every text gets the entries for its own words.
+        model = train_levels(with_own_entries(labelled, learned).collect(), lambda r: own_splitter(r["own"]))
+        shared = spark.sparkContext.broadcast((None, model))
+        src = with_own_entries(src, learned)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("reading_level", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
@@ -287,7 +296,8 @@ def reading_levels(
 
     def run(batches):
         entries, model = shared.value
-        splitter = Splitter(entries)
+        splitter = Splitter(entries) if entries is not None else None
+
         def score(rows):
             parts, own, langs = [], [], []
             for i, (_, lang, ss) in enumerate(rows):
@@ -303,12 +313,12 @@ def reading_levels(
 
         for pdf in batches:
             rows, chars = [], 0
-            for key, text, lang in zip(pdf["id"], pdf["text"], pdf["lang"]):
+            for key, text, lang, own in zip(pdf["id"], pdf["text"], pdf["lang"], pdf["own"] if splitter is None else [None] * len(pdf)):
                 if not text:
                     continue
                 text = unmarked(text)
                 lang = language(lang, text)
-                spans = splitter.spans(text, lang)
+                spans = (splitter or own_splitter(own)).spans(text, lang)
                 if len(spans) < least:
                     continue
                 if lang == ANY_LATIN:
@@ -321,5 +331,4 @@ def reading_levels(
             if rows:
                 yield score(rows)
 
-    src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
     return src.mapInPandas(run, schema)

@@ -464,9 +464,26 @@ def split_corpus(
 
         return src.mapInPandas(run, schema)
 
-    # The model is too large to send: give each document the entries for its own words.
-    keyed = src.withColumn("_row", F.expr("uuid()"))
-    keyed = keyed.withColumn("_ws", F.array_distinct(F.split("text", r"\s+")))
+    def run_own(batches):
+        for pdf in batches:
+            yield _spans_frame(pdf, id_col, lambda i, t, l: own_splitter(pdf["own"][i]).spans(t, l))
+
+    return with_own_entries(src, model).select(id_col, "text", "lang", "own").mapInPandas(run_own, schema)
+
+
+def own_splitter(own) -> Splitter:
+    """A splitter with the entries a document was given."""
+    return Splitter([(r["lang"], r["kind"], r["w"], r["final"]) for r in (own if own is not None else [])])
+
+
+def with_own_entries(src: DataFrame, model: DataFrame) -> DataFrame:
+    """``src`` (with ``text, lang``) and ``own``: the model's entries for the words of each text.
+
+    The way for a model too large to send: texts are stored under a row key,
+    their distinct words meet the model by a join, and the entries return to
+    their texts.
+    """
+    from glossa.runtime import stored
 
     def words(batches):
         for pdf in batches:
@@ -482,24 +499,10 @@ def split_corpus(
                     out += [(row, key, w) for w in seen]
             yield pd.DataFrame(out, columns=["_row", "lang", "w"])
 
-    from glossa.runtime import stored
-
-    keyed = stored(keyed.drop("_ws"), "sentences")
-    own = (
-        keyed.mapInPandas(words, "_row string, lang string, w string")
-        .join(model, ["lang", "w"])
-        .groupBy("_row")
-        .agg(F.collect_list(F.struct("lang", "kind", "w", "final")).alias("own"))
-    )
-
-    def run_own(batches):
-        for pdf in batches:
-            yield _spans_frame(
-                pdf, id_col,
-                lambda i, t, l: Splitter([(r["lang"], r["kind"], r["w"], r["final"]) for r in (pdf["own"][i] if pdf["own"][i] is not None else [])]).spans(t, l),
-            )
-
-    return keyed.join(own, "_row", "left").drop("_row").select(id_col, "text", "lang", "own").mapInPandas(run_own, schema)
+    keyed = stored(src.withColumn("_row", F.expr("uuid()")), "sentences")
+    found = keyed.select("_row", "text", "lang").mapInPandas(words, "_row string, lang string, w string")
+    own = found.join(model, ["lang", "w"]).groupBy("_row").agg(F.collect_list(F.struct("lang", "kind", "w", "final")).alias("own"))
+    return keyed.join(own, "_row", "left").drop("_row")
 
 
 def _spans_frame(pdf: pd.DataFrame, id_col: str, spans) -> pd.DataFrame:

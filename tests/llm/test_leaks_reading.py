@@ -93,3 +93,13 @@ def test_levels_of_odd_documents(spark):
     got = sorted((r.doc_id, r.reading_level, r.sentences) for r in reading_levels(docs, s).collect())
     assert [g[0] for g in got] == [1, 1, 5] and {g[2] for g in got} == {7} and len({g[1] for g in got}) == 1
     assert reading_levels(docs.where("doc_id = 2"), s).count() == 0
+
+
+def test_a_model_too_large_to_send_gives_the_same_levels(spark, monkeypatch):
+    import glossa.llm.reading as R
+
+    s = spark.createDataFrame(samples(), "reading_id long, lang string, text string, reading_level int")
+    docs = spark.createDataFrame([(i, samples()[i][2] + " Dr. Lee met Fig. 3.", "en") for i in range(20)], "doc_id long, text string, lang string")
+    one = sorted(tuple(r)[:2] + (r.sentences,) for r in reading_levels(docs, s).collect())
+    monkeypatch.setattr(R, "MODEL_ROWS", 0)
+    assert sorted(tuple(r)[:2] + (r.sentences,) for r in reading_levels(docs, s).collect()) == one and len(one) == 20
