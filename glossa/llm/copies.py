@@ -17,10 +17,10 @@ punctuation. Two records are copies if twice their common units is more than
    over all units instead, and records near that limit are banded both ways.
 4. Representatives that share a band are candidates. Buckets of up to
    ``BUCKET`` rows give all their pairs. Larger buckets are compared with
-   ``PIVOTS`` members drawn for the bucket, and are banded again with two more
-   signature rows, so no bucket is ever expanded into all pairs. A bucket never
-   becomes one task: its rows stay spread and meet the pivots by a join that
-   Spark may split.
+   ``PIVOTS`` members drawn for the bucket. Pairs of a larger bucket that the
+   links found so far leave in different groups are then all compared on their
+   sketches, in blocks of ``BLOCK`` by ``BLOCK`` rows; pairs within a group
+   would change nothing. A bucket never becomes one task.
 5. Candidates are verified sequentially on their sketches, batch by batch:
    with m matches of n, the posterior of the similarity under a uniform prior
    is a Beta distribution; a pair whose probability of reaching the threshold
@@ -52,7 +52,7 @@ FREQUENT, FREQUENT_LEAST = 0.005, 24
 ROWS, BANDS = 3, 48
 SKETCH, BATCH, MISS = 64, 16, 1e-4
 RARE_LEAST, RARE_SHARE_ALL, RARE_SHARE_BOTH = 12, 0.35, 0.5
-BUCKET, PIVOTS = 64, 4
+BUCKET, PIVOTS, BLOCK = 64, 4, 1_024
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -242,8 +242,8 @@ def _survivors(pairs: DataFrame, sketches: DataFrame, limits: list[int]) -> Data
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(run, f"a {id_type}, b {id_type}")
 
 
-def candidate_pairs(bands: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b, without repeats: pairs that share a band.
+def candidate_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(a, b)``, a < b, without repeats: pairs that share a small band, or a large one with a pivot; and the rows of large bands.
 
     A bucket of two, the usual case, is read off its count, least and greatest
     id, which are summed on the map side; only the rows of larger buckets are
@@ -255,33 +255,60 @@ def candidate_pairs(bands: DataFrame, sketches: DataFrame) -> DataFrame:
     twos = sizes.where("size = 2").select("a", "b")
     _, wide = sized_broadcast(sizes.where("size > 2").select("band", "size"), 200_000)
     rows = bands.join(wide, "band")
-    small, large = rows.where(F.col("size") <= BUCKET), rows.where(F.col("size") > BUCKET)
-
-    def all_pairs(x: DataFrame, key: list[str]) -> DataFrame:
-        a, b = x.select(*key, F.col("id").alias("a")), x.select(*key, F.col("id").alias("b"))
-        return a.join(b, key).where("a < b").select("a", "b")
-
-    def with_pivots(x: DataFrame, key: list[str]) -> DataFrame:
-        drawn = x.groupBy(*key).agg(
-            *(F.min_by("id", F.xxhash64("id", F.lit(p), *key)).alias(f"p{p}") for p in range(PIVOTS))
-        )
-        drawn = drawn.select(*key, F.explode(F.array_distinct(F.array(*(f"p{p}" for p in range(PIVOTS))))).alias("p"))
-        j = x.join(drawn, key).where(F.col("id") != F.col("p"))
-        return j.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-
-    out = twos.unionByName(all_pairs(small, ["band"]))
-    if sizes.where(F.col("size") > BUCKET).limit(1).count():
-        key = ["band", "next"]
-        at = F.pmod("band", F.lit(SKETCH // 2 - 1)).cast("int") * 2 + 1
-        deep = large.drop("size").join(sketches, "id").select("band", "id", F.hex(F.substring("sketch", at, F.lit(2))).alias("next"))
-        deep = cut(deep)
-        again = deep.join(deep.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), key)
-        out = (
-            out.unionByName(with_pivots(large.drop("size"), ["band"]))
-            .unionByName(all_pairs(again.where(F.col("size") <= BUCKET), key))
-            .unionByName(with_pivots(again.where(F.col("size") > BUCKET).drop("size"), key))
-        )
-    return out.distinct()
+    small = rows.where(F.col("size") <= BUCKET)
+    a, b = small.select("band", F.col("id").alias("a")), small.select("band", F.col("id").alias("b"))
+    out = twos.unionByName(a.join(b, "band").where("a < b").select("a", "b"))
+    if not sizes.where(F.col("size") > BUCKET).limit(1).count():
+        return out.distinct(), None
+    large = cut(rows.where(F.col("size") > BUCKET).select("band", "id"))
+    drawn = large.groupBy("band").agg(*(F.min_by("id", F.xxhash64("id", F.lit(p), "band")).alias(f"p{p}") for p in range(PIVOTS)))
+    drawn = drawn.select("band", F.explode(F.array_distinct(F.array(*(f"p{p}" for p in range(PIVOTS))))).alias("p"))
+    met = large.join(drawn, "band").where(F.col("id") != F.col("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    return out.unionByName(met).distinct(), large
+
+
+def parted_pairs(large: DataFrame, labels: DataFrame, sketches: DataFrame, limits: list[int]) -> DataFrame:
+    """``(a, b)``, a < b: all pairs of rows of a band that are in different groups and whose sketches pass every batch.
+
+    The rows of a band's largest group are not compared with each other; the
+    rows of a band are dealt to parts by hash, and two parts are a block.
+    """
+    id_type = large.schema["id"].dataType.simpleString()
+    rows = large.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    rows = cut(rows)
+    tops = rows.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "c")).alias("x"), F.sum("n").alias("size"))
+    tops = tops.where(F.col("x.n") < F.col("size")).select(
+        "band", F.col("x.c").alias("top"), F.ceil((F.col("size") - F.col("x.n")) / BLOCK).alias("rest"), F.ceil(F.col("x.n") / BLOCK).alias("most")
+    )
+    at, main = F.xxhash64("id"), F.col("c") == F.col("top")
+    dealt = rows.join(tops, "band").select(
+        "band", "id", "c", F.when(main, F.col("rest") + F.pmod(at, F.col("most"))).otherwise(F.pmod(at, F.col("rest"))).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.when(main, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)).alias("other"),
+    )
+    dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other").join(sketches, "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, groups = pdf["id"].to_numpy(), pd.factorize(pdf["c"])[0]
+        s = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
+        one = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        left = np.arange(len(pdf)) if one else np.flatnonzero(pdf["part"] == pdf["lo"])
+        right = left if one else np.flatnonzero(pdf["part"] == pdf["hi"])
+        xs, ys = [], []
+        for k, i in enumerate(left):
+            js = right[k + 1 :] if one else right
+            js = js[groups[js] != groups[i]]
+            matches = np.zeros(len(js), np.int64)
+            for n, least in enumerate(limits):
+                cols = slice(n * BATCH, (n + 1) * BATCH)
+                matches += (s[js, cols] == s[i, cols]).sum(1)
+                js, matches = js[matches >= least], matches[matches >= least]
+            xs.append(np.full(len(js), i))
+            ys.append(js)
+        x, y = (ids[np.concatenate(z).astype(np.int64)] if z else ids[:0] for z in (xs, ys))
+        swap = x > y
+        return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
+
+    return dealt.groupBy("band", "lo", "hi").applyInPandas(compare, f"a {id_type}, b {id_type}").distinct()
 
 
 def verified(pairs: DataFrame, h: DataFrame, threshold: float) -> DataFrame:
@@ -323,9 +350,14 @@ def copy_classes(
     _, repeats = sized_broadcast(members.where("id <> rep").select("id").distinct(), 200_000)
     reps = h.join(repeats, "id", "left_anti")
     sketches = stored(sketched(reps), "sketches")
-    pairs = _survivors(candidate_pairs(banded(reps, frequent_slots(h)), sketches), sketches, prune_limits(threshold))
-    links = cut(verified(pairs, h, threshold))
+    limits = prune_limits(threshold)
+    pairs, large = candidate_pairs(banded(reps, frequent_slots(h)))
+    links = cut(verified(_survivors(pairs, sketches, limits), h, threshold))
     labels = connected_components(links, "a", "b")
+    if large is not None:
+        more = cut(verified(parted_pairs(large, labels, sketches, limits), h, threshold))
+        if more.limit(1).count():
+            labels = connected_components(links.unionByName(more), "a", "b")
     joined = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return joined.where("n > 1 or component is not null").select("id", F.coalesce("component", "rep").alias("class_id")).distinct()
 
