@@ -11,10 +11,10 @@ punctuation. Two records are copies if twice their common units is more than
    unrelated records together and hardly tell copies apart.
 2. Records with the same multiset of units are represented by one of them; from
    here on a group of exact copies, however large, is a single row.
-3. Every representative gets a MinHash sketch over all its units and banded
-   signatures over its rare units. Records that hold few rare units (a group
-   holding a large share of all rows makes its own phrases frequent) are banded
-   over all units instead, and records near that limit are banded both ways.
+3. Every representative gets a MinHash sketch and banded signatures over all
+   its units, so any two copies can meet, and banded signatures over its rare
+   units as well. Records that hold few rare units (a group holding a large
+   share of all rows makes its own phrases frequent) have only the former.
 4. Representatives that share a band are candidates. Buckets of up to
    ``BUCKET`` rows give all their pairs. Larger buckets are compared with
    ``PIVOTS`` members drawn for the bucket. Pairs of a larger bucket that the
@@ -51,7 +51,7 @@ DF_SLOTS = 1 << 20
 FREQUENT, FREQUENT_LEAST = 0.005, 24
 ROWS, BANDS = 3, 48
 SKETCH, BATCH, MISS = 64, 16, 1e-4
-RARE_LEAST, RARE_SHARE_ALL, RARE_SHARE_BOTH = 12, 0.35, 0.5
+RARE_LEAST, RARE_SHARE_ALL = 12, 0.35
 BUCKET, PIVOTS, BLOCK = 64, 4, 1_024
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
@@ -179,11 +179,9 @@ def banded(h: DataFrame, frequent: np.ndarray) -> DataFrame:
                 x = np.asarray(x).view(np.uint64)
                 rare = x[~flags[(x & np.uint64(DF_SLOTS - 1)).astype(np.int64)]]
                 share = len(rare) / len(x)
-                over = []
-                if len(rare) >= RARE_LEAST and share > RARE_SHARE_ALL:
+                over = [(1, x)]
+                if len(rare) >= RARE_LEAST and RARE_SHARE_ALL < share < 1:
                     over.append((0, rare))
-                if not over or share <= RARE_SHARE_BOTH:
-                    over.append((1, x))
                 for way, of in over:
                     sig = min_hashes(of, 0, values).astype(np.uint64).reshape(BANDS, ROWS)
                     key = salt + np.uint64(way)
