@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from glossa.runtime import cut, spread
 
 WORDS, LETTERS = 5, 9
-HELD = 0.33
+HELD, NEAR = 0.33, 3
 PASSAGE_TOKENS = 4_000_000
 SHARD_CHARS = 8_000_000
 #: A run of at most ``NOTICE_TOKENS`` places of a passage is a notice or phrase,
@@ -137,6 +137,20 @@ def shard_matches(p: Passages, shard: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def coherent_tokens(start: np.ndarray, length: np.ndarray, at: np.ndarray, size: int) -> int:
+    """The most tokens of a passage in runs in its order, or in any order within ``NEAR`` times its length; runs come by ``at``."""
+    end, sums, most = start + length, length.copy(), 0
+    for i in range(len(start)):
+        before = np.flatnonzero((start[:i] < start[i]) & (at[:i] < at[i]))
+        gain = np.clip(end[i] - np.maximum(start[i], end[before]), 0, None)
+        sums[i] = max(sums[i], (sums[before] + gain).max(initial=0))
+        seen = np.zeros(size, bool)
+        for k in range(i, np.searchsorted(at, at[i] + NEAR * size)):
+            seen[start[k] : end[k]] = True
+        most = max(most, sums[i], seen.sum())
+    return int(most)
+
+
 MATCH = "item int, start int, length int, at int"
 
 
@@ -241,8 +255,21 @@ def _held(src: DataFrame, rows: list[tuple[int, str]], id_type, held: float, ite
     part = F.col("cells") / F.greatest(F.col("size") - F.coalesce("common", F.lit(0)), F.lit(1))
     kept = own.withColumn("part", part).where(F.col("rich") & (F.col("part") >= held) & (F.col("cells") > WORDS))
     best = m.groupBy("doc_id", "item").agg(F.max(F.struct("length", F.negate("at").alias("b"))).alias("x"))
-    best = best.where(F.col("x.length") > 2 * WORDS)  # scattered phrases are no passage
-    return kept.join(best, ["doc_id", "item"]).join(F.broadcast(sizes.drop("size")), "item").select(
+    kept = kept.join(best, ["doc_id", "item"])
+    # Without a long run, scattered phrases are no passage, but sentences in order or close together are.
+    long = F.col("x.length") > 2 * WORDS
+    short = m.join(kept.where(~long).select("doc_id", "item", "size"), ["doc_id", "item"])
+
+    def coherent(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "start"])
+        whole = coherent_tokens(*(pdf[c].to_numpy() for c in ("start", "length", "at")), int(pdf["size"].iloc[0]))
+        return pdf[["doc_id", "item"]].iloc[: int(whole >= held * pdf["size"].iloc[0])]
+
+    sure = short.select("doc_id", "item", "size", "start", "length", "at").groupBy("doc_id", "item").applyInPandas(
+        coherent, T.StructType([T.StructField("doc_id", id_type), T.StructField("item", T.IntegerType())])
+    )
+    kept = kept.where(long).unionByName(kept.where(~long).join(sure, ["doc_id", "item"], "left_semi"))
+    return kept.join(F.broadcast(sizes.drop("size")), "item").select(
         "doc_id", item_col, F.round("part", 4).alias("part"), F.col("x.length").alias("longest"), F.negate("x.b").alias("at")
     )
 

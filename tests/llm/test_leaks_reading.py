@@ -50,6 +50,19 @@ def test_leaks(spark):
     assert leaked(d.where("doc_id < 0"), it).count() == 0
 
 
+def test_leaks_in_short_runs(spark):
+    rnd = random.Random(6)
+    w = passage(rnd).split()
+    parts = [w[i : i + 9] for i in range(0, 60, 10)]
+    foreign = lambda n: " ".join(f"z{rnd.randrange(999)}" for _ in range(n))
+    docs = [
+        (1, ". ".join(" ".join(x) + " " + foreign(40) for x in parts)), (2, " other ".join(" ".join(x) for x in parts)),
+        (3, ". ".join(" ".join(x) + foreign(400) for x in parts[::-1])), (4, " ".join(" ".join(x) + " y" for x in parts[::-1])),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in leaked(d, spark.createDataFrame([(1, " ".join(w))], "item_id long, passage string")).collect()) == [1, 2, 4]
+
+
 def test_features_are_those_of_single_sentences():
     import numpy as np
 
