@@ -36,10 +36,11 @@ HELD, NEAR = 0.33, 3
 PASSAGE_TOKENS = 4_000_000
 SHARD_CHARS = 8_000_000
 #: A run of at most ``NOTICE_TOKENS`` places of a passage is a notice or phrase,
-#: and counts for no document, if more than ``NOTICE_DOCS`` documents hold it
-#: while most of them hold little else of the passage, or if it stands in
-#: ``NOTICE_TIMES`` as many documents as the usual place of the passage (and ten more).
-NOTICE_TOKENS, NOTICE_DOCS, NOTICE_ALONE, NOTICE_TIMES = 30, 3, 0.5, 4
+#: and counts for no document, only on evidence from outside the passage: it also
+#: stands in another passage, and most documents that hold it lack the rest; or
+#: it ends the passage and, alone of the passage, most of the documents that hold
+#: it, and these are more than a share ``NOTICE_SHARE`` of all (and ``NOTICE_DOCS``).
+NOTICE_TOKENS, NOTICE_DOCS, NOTICE_ALONE, NOTICE_SHARE = 30, 3, 0.5, 0.001
 
 _TAG = regex.compile(r"<[^<>]{0,200}>")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\W_\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
@@ -84,6 +85,19 @@ class Passages:
             self.windows.append((size, key[at][order], at[order]))
 
 
+    def shared_cells(self) -> list[tuple[int, int]]:
+        """(passage, place) of all windows that another passage, not made of the same tokens, holds too."""
+        text = [self.flat[s : s + n].tobytes() for s, n in zip(self.starts, self.sizes)]
+        out = set()
+        for size, keys, places in self.windows:
+            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)] if len(keys) else np.array([0])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                own = self.owner[places[lo:hi]]
+                if hi - lo > 1 and len({text[k] for k in own}) > 1:
+                    out |= {(int(k), int(t - self.starts[k]) + d) for k, t in zip(own, places[lo:hi]) for d in range(size)}
+        return sorted(out)
+
+
 def window_keys(t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the ``size`` tokens from each place, whether all are passage tokens)."""
     n = max(0, len(t) - size + 1)
@@ -151,11 +165,11 @@ def coherent_tokens(start: np.ndarray, length: np.ndarray, at: np.ndarray, size:
     return int(most)
 
 
-MATCH = "item int, start int, length int, at int"
+MATCH = "item int, start int, length int, at int, last boolean"
 
 
 def _matches(docs: DataFrame, shared, id_type: T.DataType) -> DataFrame:
-    """``(doc_id, item, start, length, at)``: maximal matches; item and start are places in the passages."""
+    """``(doc_id, item, start, length, at, last)``: maximal matches, places in the passages, and whether the document ends with it."""
     schema = T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(MATCH).fields])
 
     def run(batches):
@@ -177,6 +191,7 @@ def _matches(docs: DataFrame, shared, id_type: T.DataType) -> DataFrame:
             return pd.DataFrame({
                 "doc_id": keys.iloc[k].to_numpy(), "item": item, "start": t - p.starts[item] if len(item) else item,
                 "length": n, "at": s - (ends - sizes)[k] if len(k) else k,
+                "last": s + n == ends[k] - 1 if len(k) else np.array([], bool),
             })
 
         rows, chars = [], 0
@@ -228,19 +243,26 @@ def _held(src: DataFrame, rows: list[tuple[int, str]], id_type, held: float, ite
     sizes = spark.createDataFrame([(k, int(i), int(n)) for k, (i, n) in enumerate(zip(p.ids, p.sizes))], f"item int, {item_col} long, size int")
     m = cut(_matches(src, shared, id_type).distinct())
     cells = lambda df: df.withColumn("cell", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)))
-    # Places of the passages that stand mostly in documents without the rest are notices.
     rough = m.groupBy("doc_id", "item").agg(F.sum("length").alias("n"), F.max("length").alias("longest"))
     likely = rough.join(F.broadcast(sizes), "item").where((F.col("n") >= 0.15 * F.col("size")) | (F.col("longest") >= 2 * WORDS))
-    every = cut(cells(m.join(likely.select("doc_id", "item", "size"), ["doc_id", "item"])).select("doc_id", "item", "cell", "size").distinct())
-    raw = every.groupBy("doc_id", "item").agg(F.count("*").alias("raw"))
+    tail = F.col("last") & (F.col("start") + F.col("length") == F.col("size")) & (F.col("length") <= NOTICE_TOKENS)
+    every = cells(m.join(likely.select("doc_id", "item", "size"), ["doc_id", "item"]).withColumn("tail", tail))
+    every = cut(every.groupBy("doc_id", "item", "cell").agg(F.first("size").alias("size"), F.max("tail").alias("tail")))
+    shared_cells = spark.createDataFrame(p.shared_cells(), "item int, cell int")
+    others = F.broadcast(shared_cells.withColumn("shared", F.lit(True)))
+    every = every.join(others, ["item", "cell"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    lent = shared_cells.groupBy("item").agg(F.count("*").alias("lent"))
+    raw = every.groupBy("doc_id", "item").agg(
+        F.count("*").alias("raw"), F.sum((~F.col("shared")).cast("int")).alias("rest"), F.min("tail").alias("only")
+    ).join(F.broadcast(lent), "item", "left")
     spread_cells = every.join(raw, ["doc_id", "item"]).withColumn("rich", F.col("raw") >= held * F.col("size"))
+    poor = F.col("rest") < held * (F.col("size") - F.coalesce("lent", F.lit(0)))
     seen = spread_cells.groupBy("item", "cell").agg(
-        F.count("*").alias("docs"), F.sum((~F.col("rich")).cast("int")).alias("alone")
+        F.count("*").alias("docs"), F.max("shared").alias("shared"), F.sum(poor.cast("int")).alias("alone"), F.sum(F.col("only").cast("int")).alias("tails")
     )
-    usual = seen.groupBy("item").agg(F.count("*").alias("k"), F.percentile("docs", F.lit(0.5)).alias("mid")).join(F.broadcast(sizes), "item")
-    usual = usual.select("item", F.when(F.col("k") * 2 >= F.col("size"), F.col("mid")).otherwise(0.0).alias("usual"))
-    often = (F.col("alone") > NOTICE_DOCS) & (F.col("alone") > NOTICE_ALONE * F.col("docs")) | (F.col("docs") > 10 + NOTICE_TIMES * F.col("usual"))
-    flagged = seen.join(usual, "item").where(often).select("item", "cell")
+    many = F.greatest(F.lit(NOTICE_DOCS), F.lit(NOTICE_SHARE * src.count()))
+    often = F.col("shared") & (F.col("alone") > NOTICE_ALONE * F.col("docs")) | (F.col("tails") > many) & (F.col("tails") > NOTICE_ALONE * F.col("docs"))
+    flagged = seen.where(often).select("item", "cell")
     # Runs of flagged places; the table has at most the tokens of the passages of this block.
     run = F.col("cell") - F.row_number().over(Window.partitionBy("item").orderBy("cell"))
     flagged = flagged.withColumn("run", run).withColumn("n", F.count("*").over(Window.partitionBy("item", "run")))

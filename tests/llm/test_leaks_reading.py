@@ -50,6 +50,18 @@ def test_leaks(spark):
     assert leaked(d.where("doc_id < 0"), it).count() == 0
 
 
+def test_copies_of_a_third_are_no_notice(spark):
+    rnd = random.Random(9)
+    w, other = passage(rnd, 82).split(), passage(rnd, 50)
+    notice = "this notice stands at the end of very many pages of the yearbook"
+    items = [(1, " ".join(w)), (2, passage(rnd, 20) + " " + notice), (3, other + " " + notice)]
+    docs = [(i, passage(rnd, 30) + " z " + " ".join(w[20:48]) + " z " + passage(rnd, 5)) for i in range(40)]
+    docs += [(50, " ".join(w)), (51, other)] + [(60 + i, passage(rnd, 30) + " z " + notice + " z") for i in range(9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = leaked(d, spark.createDataFrame(items, "item_id long, passage string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, 1) for i in [*range(40), 50]] + [(51, 3)]
+
+
 def test_leaks_in_short_runs(spark):
     rnd = random.Random(6)
     w = passage(rnd).split()
