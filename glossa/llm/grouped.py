@@ -8,8 +8,9 @@ iterative stratification: of the labels still to be placed the rarest goes
 first, its largest groups first, each into the split that needs the label most.
 
 Groups of more than 1/``LARGE`` of all articles, of which there are at most
-``LARGE``, are placed one after the other on the driver. The rest is dealt to
-blocks of about ``BLOCK`` groups by hash, and each block fills its share of what
+``LARGE``, are placed one after the other on the driver. If there is more than
+one block, groups of labels with fewer than ``SCARCE`` articles a block follow
+there, so no label is too rare for its share. The rest is dealt to blocks of about ``BLOCK`` groups by hash, and each block fills its share of what
 the large groups have left open; so no task sees more than a block.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from glossa.operators.graph import connected_components
 from glossa.runtime import cut, spread
 
-LARGE, BLOCK = 1_000, 20_000
+LARGE, BLOCK, SCARCE = 1_000, 20_000, 100
 
 # The words with which author lines and source lines begin in the
 # nine languages, and those that join two names.
@@ -198,8 +199,23 @@ def stratified_splits(
     placed = _place(big, need, size_need)
     rest = g.where(F.col("weight") <= total / LARGE)
     blocks = max(1, -(-count // BLOCK))
+    scarce = {l for l, n in totals.items() if blocks > 1 and n < SCARCE * blocks}
+    if scarce:
+        has = F.coalesce(F.arrays_overlap(F.map_keys("labels"), F.array(*map(F.lit, sorted(scarce)))), F.lit(False))
+        few = [(r["group_id"], r["weight"], r["labels"]) for r in rest.where(has).collect()]
+        rest = rest.where(~has)
+        # Only the scarce labels decide; the others are booked.
+        placed |= _place([(k, w, {l: n for l, n in x.items() if l in scarce}) for k, w, x in few], need, size_need)
+        for k, _, x in few:
+            for l in x.keys() - scarce:
+                need[placed[k]][l] -= x[l]
+        big += few
     rest_total = max(1.0, total - sum(w for _, w, _ in big))
-    rest_labels = {l: max(1.0, n - sum(x.get(l, 0.0) for _, _, x in big)) for l, n in totals.items()}
+    gone: dict[str, float] = {}
+    for _, _, x in big:
+        for l, n in x.items():
+            gone[l] = gone.get(l, 0.0) + n
+    rest_labels = {l: max(1.0, n - gone.get(l, 0.0)) for l, n in totals.items()}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(k, w, dict(x) if x is not None else {}) for k, w, x in zip(pdf["group_id"], pdf["weight"], pdf["labels"])]

@@ -57,6 +57,18 @@ def test_blocks(spark, monkeypatch):
     assert abs((s.split == "train").mean() - 0.8) < 0.03 and s.groupby("group_id").split.nunique().max() == 1
 
 
+def test_a_label_rare_in_every_block_gets_its_shares(spark, monkeypatch):
+    import glossa.llm.grouped as G
+
+    monkeypatch.setattr(G, "BLOCK", 50)
+    m = spark.createDataFrame([(str(i), str(i)) for i in range(2_000)], "article_id string, group_id string")
+    rare = {str(i) for i in range(0, 2_000, 20)}
+    l = spark.createDataFrame([(str(i), "x") for i in range(2_000)] + [(i, "rare") for i in rare], "article_id string, label string")
+    s = stratified_splits(m, l).toPandas()
+    assert s[s.article_id.isin(rare)].split.value_counts().to_dict() == {"train": 80, "validation": 10, "test": 10}
+    assert len(s) == 2_000 and abs((s.split == "train").mean() - 0.8) < 0.03
+
+
 def annotations(spark, n=300):
     rnd = random.Random(5)
     care = {f"an{i}": (0.95 if i < 4 else 0.4) for i in range(12)}
