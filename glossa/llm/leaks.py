@@ -1,11 +1,12 @@
-"""Evaluation passages that stand in training text, by suffix arrays of the training shards.
+"""Evaluation passages that stand in training text, by hashed seeds and maximal matches.
 
 Every task turns its shard of documents into one array of token numbers (words
 without case, accents, punctuation and markup; single letters where words are
-not spaced) and sorts the shard's suffixes. Only suffixes whose first ``WORDS``
-(``LETTERS``) tokens occur in some evaluation passage can begin a match of that
-length, so the array holds just these. Every suffix of every passage is then
-looked up by binary search; each hit that cannot be extended to the left is
+not spaced) and sorts its places by a 64-bit hash of the first ``WORDS``
+(``LETTERS``) tokens from there. Only places whose hash some evaluation passage
+has can begin a match of that length, so just these are sorted; it is no suffix
+array, and collisions of hashes are not checked. Every place of every passage is
+then looked up by binary search; each hit that cannot be extended to the left is
 extended to the right as far as the tokens agree, which gives all maximal
 verbatim matches with their places. Matches are summed to the part of a passage
 that a document holds; a changed word or a foreign sentence in between only
