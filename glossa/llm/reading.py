@@ -1,23 +1,31 @@
-"""Reading level of documents, from the levels of their sentences.
-
-A sentence's level is estimated by regularised least squares over hashed
-character n-grams, hashed words and measures of length against the usual ones
-of the language: an estimate of the probability of each level and of the level
-itself, trained on the sentences of labelled samples. The estimates of a
-document's sentences are averaged, and a softmax model with quadratic penalty
-turns these averages into calibrated probabilities of the document's level; it is trained on distributions that were predicted for
-samples the sentence model had not seen, so it is calibrated for new texts.
-
-The models are trained on the driver on at most ``SAMPLES`` labelled rows (the
-intended table has some hundreds). Scoring is one Arrow stage over all
-documents: a batch of texts becomes one array of code points, rolling hashes
-over it index the weight tables, and sums over sentence bounds give the scores,
-so no Python loop runs over characters or words.
+"""Reading level of documents, from the vocabulary and length of their sentences.
+
+Every sentence gets two scores. The first is its vocabulary: a regularised
+linear model of hashed character n-grams and words, fitted for each language to
+the levels of labelled samples together with a length term, so that its weights
+carry what length doesn't explain. The second is its length, in words, or in
+letters where words aren't spaced. A document has the means of both over its
+sentences.
+
+The scores of all documents of a language are then calibrated together: each
+score has ``GRADES`` grades, a document's level is the sum of its two grades,
+and a mixture with one normal component for each pair of grades is fitted by
+expectation-maximisation to the counts of all documents in cells of the two
+scores. Labelled samples, scored by models that haven't seen them, take part as
+documents whose level is known. So the boundaries between levels lie where the
+corpus has few documents, and a language with few documents rests on its samples.
+
+The linear models are fitted on the driver on at most ``SAMPLES`` labelled rows
+by conjugate gradients over sparse rows, so memory grows with their features
+only. Scoring is one Arrow stage over all documents: a batch of texts becomes
+one array of code points, rolling hashes over it index the weight tables, and
+sums over sentence bounds give the scores.
 """
 
 from __future__ import annotations
 
 import html
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,20 +36,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.llm.sentences import (
-    ANY_LATIN, CASED, MODEL_ROWS, Splitter, corpus_counts, language, learn_model, own_splitter, with_own_entries,
+    ANY_LATIN, CASED, KNOWN, MODEL_ROWS, Splitter, corpus_counts, language, learn_model, own_splitter, with_own_entries,
 )
-from glossa.runtime import cut, spread
+from glossa.runtime import cut, spread, stored
 
 SAMPLES = 20_000
-LEVELS = 5
+LEVELS, GRADES = 5, 3
 LEAST_SENTENCES = 6
 CHAR_BITS, WORD_BITS = 17, 16
 CHAR_SLOTS, WORD_SLOTS = 1 << CHAR_BITS, 1 << WORD_BITS
+CHAR_SIZES = (2, 3)
 #: Code points scored at once.
 BATCH_CHARS = 500_000
-CHAR_SIZES = (2, 3)
-SENTENCE_PENALTY, DOCUMENT_PENALTY, FOLDS = 3.0, 2e-3, 6
-CHAR_SCALE, WORD_SCALE, LENGTH_SCALE = 10.0, 5.0, 0.55
+PENALTY, FOLDS = 0.2, 9
+#: Mean square of the lexical features of a sample against those of its length.
+LEXICAL_SCALE = 3.0
+#: Cells of the two scores in which documents are counted: side and number of a score's cells.
+CELL, CELLS = 0.05, 256
+ROUNDS = 60
+#: Languages whose words aren't spaced, so that length is counted in letters.
+UNSPACED = ("zh", "ja", "th")
 
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _BREAK = regex.compile(r"</p>\s*|<br\s*/?>\s*", regex.I)
@@ -59,8 +73,6 @@ _KIND = np.zeros(0x110000, np.uint8)
 
 def _kinds() -> np.ndarray:
     if not _KIND[97]:
-        import unicodedata
-
         for c in range(0x30000):
             k = unicodedata.category(chr(c))
             _KIND[c] = 1 if k[0] in "LM" else 2 if k[0] == "N" else 0
@@ -73,17 +85,18 @@ _END = "\x1e"
 
 @dataclass
 class Features:
-    """Hashed features of sentences: slots with the sentence they belong to, and lengths."""
+    """Hashed features of sentences: slots with the sentence they belong to, and counts."""
 
     char: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     word: tuple[np.ndarray, np.ndarray] = (np.array([], np.int64),) * 2
-    dense: np.ndarray | None = None
+    letters: np.ndarray | None = None
+    words: np.ndarray | None = None
 
 
 def features(sentences: list[str]) -> Features:
     """Features of a list of sentences, computed over one array of code points."""
     n = len(sentences)
-    text = _END.join(sentences).lower() + _END
+    text = unicodedata.normalize("NFC", _END.join(sentences).lower()) + _END
     if text.count(_END) != n:
         return features([s.replace(_END, " ") for s in sentences])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -108,7 +121,6 @@ def features(sentences: list[str]) -> Features:
         h = h[at] * np.uint32(0x9E3779B1)
         out.char.append(((h >> np.uint32(32 - CHAR_BITS)).astype(np.int32), owner[at]))
     starts = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
-    stops = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1
     power = np.full(64, _B, np.uint32)
     power[0] = 1
     power = np.cumprod(power, dtype=np.uint32)
@@ -118,117 +130,147 @@ def features(sentences: list[str]) -> Features:
     sums = np.add.reduceat(value, starts, dtype=np.uint32) if len(starts) else np.array([], np.uint32)
     sums = (sums ^ (sums >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     out.word = ((sums >> np.uint32(32 - WORD_BITS)).astype(np.int32), owner[starts])
-    letters = np.bincount(owner[letter], minlength=n)
-    words = np.bincount(owner[starts], minlength=n)
-    longest = np.zeros(n)
-    if len(starts):
-        np.maximum.at(longest, owner[starts], (stops - starts).astype(float))
-    out.dense = np.column_stack([np.log1p(letters), np.log1p(words), np.log1p(letters / np.maximum(words, 1)), np.log1p(longest)])
+    out.letters = np.bincount(owner[letter], minlength=n)
+    out.words = np.bincount(owner[starts], minlength=n)
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+class _Rows:
+    """Sparse rows of samples: shares of hashed features, centred and scaled."""
+
+    def __init__(self, texts: list[list[str]]):
+        size = len(CHAR_SIZES) * CHAR_SLOTS + WORD_SLOTS
+        cols, vals, runs = [], [], []
+        for sentences in texts:
+            f = features(sentences)
+            col, val = [], []
+            for i, (slots, _) in enumerate([*f.char, f.word]):
+                slot, n = np.unique(slots, return_counts=True)
+                col.append(slot.astype(np.int32) + i * CHAR_SLOTS)
+                val.append((n / max(1, len(slots))).astype(np.float32))
+            cols.append(np.concatenate(col))
+            vals.append(np.concatenate(val))
+            runs.append(len(cols[-1]))
+        self.n = len(texts)
+        col, self.val = np.concatenate(cols), np.concatenate(vals)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), runs)
+        # A feature of a single sample says nothing about the others.
+        keep = np.bincount(col, minlength=size)[col] >= 2
+        self.val, self.row = self.val[keep], self.row[keep]
+        self.slots, self.col = np.unique(col[keep], return_inverse=True)
+        self.mean = np.bincount(self.col, self.val, minlength=len(self.slots)) / self.n
+        norm = (np.bincount(self.row, self.val**2, minlength=self.n)).mean() - (self.mean**2).sum()
+        self.scale = float(np.sqrt(LEXICAL_SCALE / max(norm, 1e-9)))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """Every sample's centred, scaled features times ``w``."""
+        return self.scale * (np.bincount(self.row, self.val * w[self.col], minlength=self.n) - self.mean @ w)
+
+    def sums(self, r: np.ndarray) -> np.ndarray:
+        """Sums over samples of their features times ``r``."""
+        return self.scale * (np.bincount(self.col, self.val * r[self.row], minlength=len(self.slots)) - self.mean * r.sum())
+
+    def fit(self, length: np.ndarray, y: np.ndarray, use: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+        """Ridge weights of the lexical features beside those of ``length``, by conjugate gradients on the samples ``use``."""
+        k = len(self.slots)
+        on = use.astype(float)
+        centre = lambda v: on * (v - (on @ v) / on.sum())
+
+        def normal(w):
+            r = centre(self.dot(w[:k]) + length @ w[k:])
+            return np.r_[self.sums(r), length.T @ r] + penalty * w
+
+        target = centre(y)
+        b = np.r_[self.sums(target), length.T @ target]
+        w = np.zeros(k + length.shape[1])
+        r, p = b.copy(), b.copy()
+        rr = first = r @ r
+        for _ in range(400):
+            if rr <= 1e-10 * first:
+                break
+            q = normal(p)
+            a = rr / (p @ q)
+            w += a * p
+            r -= a * q
+            rr, old = r @ r, rr
+            p = r + (rr / old) * p
+        return w[:k]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> np.ndarray:
-    """Softmax regression with quadratic penalty by accelerated gradient descent; the last row is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    target = np.eye(LEVELS)[y]
-    lip = 0.5 * float((x**2).sum(1).mean()) + penalty
-    w = v = np.zeros((x.shape[1], LEVELS))
-    shrink = np.full((x.shape[1], 1), penalty)
-    shrink[-1] = 0
-    for k in range(rounds):
-        new = v - 4 / lip * (x.T @ (_softmax(x @ v) - target) / len(x) + shrink * v)
-        v = new + (k / (k + 3)) * (new - w)
-        w = new
-    return w
+@dataclass
+class Scale:
+    """The vocabulary weights of one language and its samples' scores by models that haven't seen them."""
+
+    tables: list[np.ndarray]
+    offset: float
+    length: np.ndarray
+    vocabulary: np.ndarray
+    level: np.ndarray
 
 
 class LevelModel:
-    """Sentence and document models; ``fit`` trains both on (lang, level, sentences) samples."""
+    """Vocabulary models of all languages; ``fit`` trains them on (lang, level, sentences) samples."""
 
     def fit(self, samples: list[tuple[str, int, list[str]]]) -> LevelModel:
-        texts = [s for _, _, ss in samples for s in ss]
-        doc = np.array([i for i, (_, _, ss) in enumerate(samples) for _ in ss])
-        langs = np.array([samples[i][0] for i in doc])
-        y = np.array([v for _, v, _ in samples])
-        f = features(texts)
-        self.norms = {l: (f.dense[langs == l].mean(0), f.dense[langs == l].std(0) + 0.05) for l in set(langs)}
-        self.norms[""] = (f.dense.mean(0), f.dense.std(0) + 0.05)
-        self.words = {l: frozenset(w for t, k in zip(texts, langs) if k == l for w in regex.findall(r"\p{L}+", t.lower())) for l in set(langs)}
-        n = len(texts)
-        parts = [_counted(*c, CHAR_SLOTS, 3, n, CHAR_SCALE) for c in f.char] + [_counted(*f.word, WORD_SLOTS, 2, n, WORD_SCALE)]
-        lengths = self._lengths(f.dense, langs)
-        kernel = 1.0 + lengths @ lengths.T
-        for _, x in parts:
-            kernel += x @ x.T
-        # Least-squares estimates of the probability of each level, and of the level itself.
-        target = np.column_stack([np.eye(LEVELS)[y[doc] - 1], y[doc] - 3.0])
-        ridge = SENTENCE_PENALTY * np.bincount(doc)[doc] / np.mean(np.bincount(doc)[doc])  # every sample counts alike
-        seen = np.zeros((n, LEVELS + 1))
-        fold = np.arange(len(samples)) % FOLDS
-        for k in range(FOLDS):
-            a, b = fold[doc] != k, fold[doc] == k
-            if a.any() and b.any():
-                mean = target[a].mean(0)
-                seen[b] = kernel[np.ix_(b, a)] @ np.linalg.solve(kernel[np.ix_(a, a)] + np.diag(ridge[a]), target[a] - mean) + mean
-        self.mean = target.mean(0)
-        dual = np.linalg.solve(kernel + np.diag(ridge), target - self.mean)
-        self.mean = self.mean + dual.sum(0)
-        self.length_w = lengths.T @ dual
-        tables = []
-        for (use, x), size in zip(parts, [CHAR_SLOTS] * len(f.char) + [WORD_SLOTS]):
-            w = np.zeros((size, LEVELS + 1), np.float32)
-            w[use] = x.T @ dual.astype(np.float32)
-            tables.append(w)
-        self.char_w, self.word_w = tables[:-1], tables[-1]
-        d = self._document(seen, lengths, doc, len(samples))
-        self.doc_mean, self.doc_std = d.mean(0), d.std(0) + 1e-3
-        self.doc_w = _fit((d - self.doc_mean) / self.doc_std, y - 1, DOCUMENT_PENALTY)
+        self.words: dict[str, frozenset] = {}
+        self.scales: dict[str, Scale] = {}
+        langs = sorted({lang for lang, _, _ in samples})
+        for lang in langs:
+            self._learn(lang, [(v, ss) for l, v, ss in samples if l == lang])
+        if KNOWN - set(langs):
+            self._learn("", [(v, ss) for _, v, ss in samples])
+        for lang in langs:
+            if lang in CASED:
+                self.words[lang] = frozenset(w for l, _, ss in samples if l == lang for s in ss for w in regex.findall(r"\p{L}+", s.lower()))
         return self
 
-    def _lengths(self, dense: np.ndarray, langs: np.ndarray) -> np.ndarray:
-        """Lengths against the usual ones of the language, and their squares."""
-        z = np.empty_like(dense)
-        for l in np.unique(langs):
-            mean, std = self.norms.get(l, self.norms[""])
-            at = langs == l
-            z[at] = (dense[at] - mean) / std
-        z = np.clip(z, -4, 4)
-        return np.column_stack([LENGTH_SCALE * z, LENGTH_SCALE * 0.35 * z * z])
-
-    def sentence_levels(self, texts: list[str], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimated probability of each level and estimated level less 3, lengths) of each sentence."""
+    def _learn(self, lang: str, samples: list[tuple[int, list[str]]]) -> None:
+        y = np.array([v for v, _ in samples], float)
+        rows = _Rows([ss for _, ss in samples])
+        length = np.array([_lengths(features(ss), [lang] * len(ss)).mean() for _, ss in samples])
+        z = (length - length.mean()) / (length.std() + 1e-3)
+        basis = np.column_stack([z, np.tanh(3 * (z + 0.7)), np.tanh(3 * (z - 0.5))])
+        n = len(samples)
+        fold = np.empty(n, int)
+        fold[np.argsort(y, kind="stable")] = np.arange(n) % FOLDS
+        seen = np.zeros(n)
+        for k in set(fold):
+            use = fold != k
+            if use.any():
+                seen[~use] = rows.dot(rows.fit(basis, y, use))[~use]
+        w = rows.fit(basis, y, np.ones(n, bool))
+        flat = np.zeros(len(CHAR_SIZES) * CHAR_SLOTS + WORD_SLOTS, np.float32)
+        flat[rows.slots] = rows.scale * w
+        tables = [flat[i * CHAR_SLOTS : (i + 1) * CHAR_SLOTS] for i in range(len(CHAR_SIZES))] + [flat[len(CHAR_SIZES) * CHAR_SLOTS :]]
+        self.scales[lang] = Scale(tables, -float(rows.scale * (rows.mean @ w)), length, seen, y.astype(int))
+
+    def known(self, lang: str) -> str:
+        return lang if lang in self.scales else ""
+
+    def sentence_scores(self, texts: list[str], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vocabulary score, its weight, length) of each sentence; ``langs`` are keys of ``scales``."""
         n = len(texts)
-        if not n:
-            return np.zeros((0, LEVELS + 1)), np.zeros((0, 8))
         f = features(texts)
-        lengths = self._lengths(f.dense, langs)
-        z = lengths @ self.length_w + self.mean
-        for (slots, own), table, scale in [*((c, w, CHAR_SCALE) for c, w in zip(f.char, self.char_w)), (f.word, self.word_w, WORD_SCALE)]:
-            if not len(own):
-                continue
-            # Owners ascend, so a sentence's features are one run.
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            runs = np.diff(np.r_[first, len(own)])
-            z[own[first]] += np.add.reduceat(table[slots], first, axis=0) * (scale / runs)[:, None]
-        return z, lengths
-
-    @staticmethod
-    def _document(z: np.ndarray, lengths: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """Means over a document's sentences, and the square of the mean level."""
-        both = np.column_stack([z, lengths[:, : lengths.shape[1] // 2]])
-        size = np.maximum(np.bincount(doc, minlength=n), 1)
-        m = np.column_stack([np.bincount(doc, both[:, k], minlength=n) / size for k in range(both.shape[1])])
-        return np.column_stack([m, m[:, LEVELS] ** 2])
-
-    def document_levels(self, z: np.ndarray, lengths: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """Calibrated level distribution of each of ``n`` documents from the estimates of their sentences."""
-        d = np.clip((self._document(z, lengths, doc, n) - self.doc_mean) / self.doc_std, -4, 4)
-        return _softmax(np.column_stack([d, np.ones(n)]) @ self.doc_w)
+        score = np.zeros(n)
+        keys = np.unique(langs)
+        for key in keys:
+            scale = self.scales[key]
+            score[langs == key] = scale.offset
+            for (slots, own), table in zip([*f.char, f.word], scale.tables):
+                if len(keys) > 1:
+                    mine = (langs == key)[own]
+                    slots, own = slots[mine], own[mine]
+                if len(own):
+                    # Owners ascend, so a sentence's features are one run.
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    score[own[first]] += np.add.reduceat(table[slots], first) / np.diff(np.r_[first, len(own)])
+        return score, np.maximum(f.letters, 1), _lengths(f, langs)
+
+    def document_scores(self, texts: list[str], langs: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(mean vocabulary score by letters, mean length) of ``n`` documents from their sentences."""
+        score, weight, length = self.sentence_scores(texts, langs)
+        total = np.bincount(doc, weight, minlength=n)
+        return np.bincount(doc, score * weight, minlength=n) / total, np.bincount(doc, length, minlength=n) / np.bincount(doc, minlength=n)
 
     def latin(self, text: str) -> str:
         """The Latin-script language whose words a text shares most."""
@@ -236,16 +278,59 @@ class LevelModel:
         return max((l for l in CASED if l in self.words), key=lambda l: (len(words & self.words[l]), l), default=ANY_LATIN)
 
 
-def _counted(slots: np.ndarray, own: np.ndarray, size: int, least: int, n: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(slots in use, their scaled shares of each sentence's features)."""
-    use = np.flatnonzero(np.bincount(slots, minlength=size) >= least)
-    at = np.full(size, -1, np.int64)
-    at[use] = np.arange(len(use))
-    x = np.zeros((n, len(use)), np.float32)
-    col = at[slots]
-    np.add.at(x, (own[col >= 0], col[col >= 0]), 1)
-    x *= (scale / np.maximum(np.bincount(own, minlength=n), 1)).astype(np.float32)[:, None]
-    return use, x
+def _lengths(f: Features, langs) -> np.ndarray:
+    return np.log1p(np.where(np.isin(langs, UNSPACED), f.letters, f.words))
+
+
+#: Level of each pair of grades, (length, vocabulary), the latter changing fastest.
+LEVEL_OF = np.add.outer(np.arange(GRADES), np.arange(GRADES)).ravel() + 1
+
+
+class Calibration:
+    """A normal component for each pair of grades, fitted to (length, vocabulary) points with counts."""
+
+    def __init__(self, points: np.ndarray, counts: np.ndarray, known: np.ndarray, level: np.ndarray):
+        x = np.vstack([points, known])
+        n = np.r_[counts, np.ones(len(known))].astype(float)
+        label = np.r_[np.zeros(len(points), int), level]
+        at = (np.arange(GRADES) + 0.5) / GRADES
+        q = [_quantiles(x[:, d], n, at) for d in (0, 1)]
+        self.mean = np.array([(a, b) for a in q[0] for b in q[1]])
+        gap = [max(np.diff(v).mean(), 0.05) for v in q]
+        self.cov = np.repeat(np.diag([(g / 3) ** 2 for g in gap])[None], len(LEVEL_OF), 0)
+        self.share = np.full(len(LEVEL_OF), 1 / len(LEVEL_OF))
+        other = (label[:, None] > 0) & (LEVEL_OF[None] != label[:, None])
+        least = np.diag([(g / 30) ** 2 for g in gap])
+        for _ in range(ROUNDS):
+            r = _normalised(np.where(other, -30.0, 0.0) + self._logs(x)) * n[:, None]
+            size = r.sum(0)
+            self.share = (size + 5) / (size.sum() + 5 * len(size))
+            self.mean = (r.T @ x + 0.5 * self.mean) / (size + 0.5)[:, None]
+            d = x[:, None] - self.mean[None]
+            own = np.einsum("nk,nki,nkj->kij", r, d, d)
+            # Small components borrow the spread that all have together.
+            self.cov = (own + 10 * own.sum(0) / size.sum()) / (size + 10)[:, None, None] + least
+
+    def _logs(self, x: np.ndarray) -> np.ndarray:
+        d = x[:, None] - self.mean[None]
+        inside = np.einsum("nki,kij,nkj->nk", d, np.linalg.inv(self.cov), d)
+        return np.log(self.share) - 0.5 * (inside + np.log(np.linalg.det(self.cov)))
+
+    def levels(self, x: np.ndarray) -> np.ndarray:
+        """The probability of each level for each (length, vocabulary) row."""
+        r = _normalised(self._logs(x))
+        return np.column_stack([r[:, LEVEL_OF == v].sum(1) for v in range(1, LEVELS + 1)])
+
+
+def _normalised(logs: np.ndarray) -> np.ndarray:
+    r = np.exp(logs - logs.max(1, keepdims=True))
+    return r / r.sum(1, keepdims=True)
+
+
+def _quantiles(x: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    order = np.argsort(x, kind="stable")
+    below = np.cumsum(n[order]) - 0.5 * n[order]
+    return np.interp(at * n.sum(), below, x[order])
 
 
 def train_levels(rows, splitter_of) -> LevelModel:
@@ -262,40 +347,15 @@ def train_levels(rows, splitter_of) -> LevelModel:
     return LevelModel().fit(data)
 
 
-def reading_levels(
-    docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST_SENTENCES
-) -> DataFrame:
-    """``(id_col, reading_level, confidence, expected, sentences)`` of every document of at least ``least`` sentences.
-
-    Null, empty and shorter texts give no row; unknown languages are told from
-    the script and, in Latin letters, from the words of the samples; ties go to
-    the lower level; repeated rows give repeated rows; an empty table gives an
-    empty table; without labelled samples a ValueError is raised.
-    """
-    spark = docs.sparkSession
-    learned = cut(learn_model(corpus_counts(docs, text_col, lang_col)))
-    labelled = (
-        samples.where(F.col("text").isNotNull() & F.col("reading_level").between(1, LEVELS))
-        .select("lang", F.col("reading_level").alias("level"), "text").distinct().orderBy(F.xxhash64("text")).limit(SAMPLES)
-    )
-    src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    entries = [tuple(r) for r in learned.limit(MODEL_ROWS + 1).collect()]
-    if len(entries) <= MODEL_ROWS:
-        every = Splitter(entries)
-        shared = spark.sparkContext.broadcast((entries, train_levels(labelled.collect(), lambda r: every)))
-    else:
-        # The sentence model is too large to send: every text gets the entries for its own words.
-        model = train_levels(with_own_entries(labelled, learned).collect(), lambda r: own_splitter(r["own"]))
-        shared = spark.sparkContext.broadcast((None, model))
-        src = with_own_entries(src, learned)
-    id_type = docs.schema[id_col].dataType
+def _scored(src: DataFrame, shared) -> DataFrame:
+    """``(id, key, length, vocabulary, sentences)`` of every document with sentences."""
     schema = T.StructType([
-        T.StructField(id_col, id_type), T.StructField("reading_level", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
-        T.StructField("expected", T.DoubleType()), T.StructField("sentences", T.IntegerType()),
+        src.schema["id"], T.StructField("key", T.StringType()), T.StructField("length", T.DoubleType()),
+        T.StructField("vocabulary", T.DoubleType()), T.StructField("sentences", T.IntegerType()),
     ])
 
     def run(batches):
-        entries, model = shared.value
+        entries, model, least = shared.value
         splitter = Splitter(entries) if entries is not None else None
 
         def score(rows):
@@ -304,11 +364,10 @@ def reading_levels(
                 parts += ss
                 own += [i] * len(ss)
                 langs += [lang] * len(ss)
-            z, lengths = model.sentence_levels(parts, np.array(langs))
-            d = model.document_levels(z, lengths, np.array(own, np.int64), len(rows))
+            vocabulary, length = model.document_scores(parts, np.array(langs), np.array(own, np.int64), len(rows))
             return pd.DataFrame({
-                id_col: [r[0] for r in rows], "reading_level": d.argmax(1) + 1, "confidence": d.max(1),
-                "expected": d @ np.arange(1, LEVELS + 1), "sentences": [len(r[2]) for r in rows],
+                "id": [r[0] for r in rows], "key": [r[1] for r in rows], "length": length, "vocabulary": vocabulary,
+                "sentences": [len(r[2]) for r in rows],
             })
 
         for pdf in batches:
@@ -319,11 +378,11 @@ def reading_levels(
                 text = unmarked(text)
                 lang = language(lang, text)
                 spans = (splitter or own_splitter(own)).spans(text, lang)
-                if len(spans) < least:
+                if not spans or len(spans) < least:
                     continue
                 if lang == ANY_LATIN:
                     lang = model.latin(text)
-                rows.append((key, lang, [text[a:b] for a, b in spans]))
+                rows.append((key, model.known(lang), [text[a:b] for a, b in spans]))
                 chars += len(text)
                 if chars > BATCH_CHARS:
                     yield score(rows)
@@ -332,3 +391,65 @@ def reading_levels(
                 yield score(rows)
 
     return src.mapInPandas(run, schema)
+
+
+def calibrations(scores: DataFrame, model: LevelModel) -> dict[str, Calibration]:
+    """The calibration of each language from counts of all its documents; at most ``CELLS`` squared cells a language come here."""
+    cell = lambda c: F.greatest(F.lit(-CELLS // 2), F.least(F.lit(CELLS // 2 - 1), F.floor(F.col(c) / CELL)))
+    cells = scores.groupBy("key", cell("length").alias("l"), cell("vocabulary").alias("v")).agg(F.count("*").alias("n")).toPandas()
+    out = {}
+    for key, scale in model.scales.items():
+        own = cells[cells["key"] == key]
+        points = (own[["l", "v"]].to_numpy(float) + 0.5) * CELL
+        out[key] = Calibration(points, own["n"].to_numpy(), np.column_stack([scale.length, scale.vocabulary]), scale.level)
+    return out
+
+
+def reading_levels(
+    docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST_SENTENCES
+) -> DataFrame:
+    """``(id_col, reading_level, confidence, expected, sentences)`` of every document of at least ``least`` sentences.
+
+    Null, empty and shorter texts give no row; unknown languages are told from
+    the script and, in Latin letters, from the words of the samples; a language
+    without samples is scored by the samples of all languages together; ties go
+    to the lower level; repeated rows give repeated rows; an empty table gives an
+    empty table; without labelled samples a ValueError is raised.
+    """
+    spark = docs.sparkSession
+    learned = cut(learn_model(corpus_counts(docs, text_col, lang_col, unmarked)))
+    labelled = (
+        samples.where(F.col("text").isNotNull() & F.col("reading_level").between(1, LEVELS))
+        .select("lang", F.col("reading_level").alias("level"), "text").distinct().orderBy(F.xxhash64("text")).limit(SAMPLES)
+    )
+    src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    entries = [tuple(r) for r in learned.limit(MODEL_ROWS + 1).collect()]
+    if len(entries) <= MODEL_ROWS:
+        every = Splitter(entries)
+        model = train_levels(labelled.collect(), lambda r: every)
+        shared = spark.sparkContext.broadcast((entries, model, least))
+    else:
+        # The sentence model is too large to send: every text gets the entries for its own words.
+        model = train_levels(with_own_entries(labelled, learned).collect(), lambda r: own_splitter(r["own"]))
+        shared = spark.sparkContext.broadcast((None, model, least))
+        src = with_own_entries(src, learned)
+    scores = stored(_scored(src, shared), "reading")
+    fitted = spark.sparkContext.broadcast(calibrations(scores, model))
+    schema = T.StructType([
+        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("reading_level", T.IntegerType()),
+        T.StructField("confidence", T.DoubleType()), T.StructField("expected", T.DoubleType()), T.StructField("sentences", T.IntegerType()),
+    ])
+
+    def judge(batches):
+        for pdf in batches:
+            x = pdf[["length", "vocabulary"]].to_numpy(float)
+            d = np.zeros((len(pdf), LEVELS))
+            for key in pdf["key"].unique():
+                at = (pdf["key"] == key).to_numpy()
+                d[at] = fitted.value[key].levels(x[at])
+            yield pd.DataFrame({
+                id_col: pdf["id"], "reading_level": d.argmax(1) + 1, "confidence": d.max(1),
+                "expected": d @ np.arange(1, LEVELS + 1), "sentences": pdf["sentences"],
+            })
+
+    return scores.mapInPandas(judge, schema)

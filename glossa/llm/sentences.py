@@ -184,14 +184,15 @@ def _count_thai(counts: Counter, block: str) -> None:
 STATS = "lang string, kind string, a string, b string, n long"
 
 
-def corpus_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``(lang, kind, a, b, n)`` over all documents; each task sums before the shuffle."""
+def corpus_counts(docs: DataFrame, text_col: str, lang_col: str, prepare=None) -> DataFrame:
+    """``(lang, kind, a, b, n)`` over all documents, after ``prepare`` where given; each task sums before the shuffle."""
 
     def run(batches):
         counts = Counts()
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"]):
                 if text and not text.isspace():
+                    text = prepare(text) if prepare else text
                     counts.add(language(lang, text), text)
             if len(counts) > 500_000:
                 yield counts.frame()

@@ -1,7 +1,7 @@
 import random
 
 from glossa.llm.leaks import Passages, leaked, shard_matches, tokens, without_leaks
-from glossa.llm.reading import LevelModel, features, reading_levels
+from glossa.llm.reading import LEVEL_OF, Calibration, LevelModel, features, reading_levels, train_levels
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -84,7 +84,7 @@ def test_features_are_those_of_single_sentences():
         g = features([s])
         for (slots, own), (one, _) in zip([*f.char, f.word], [*g.char, g.word]):
             assert sorted(slots[own == i].tolist()) == sorted(one.tolist())
-        assert np.allclose(f.dense[i], g.dense[0])
+        assert (f.letters[i], f.words[i]) == (g.letters[0], g.words[0])
 
 
 def samples():
@@ -98,17 +98,56 @@ def samples():
     return out
 
 
-def test_held_out_accuracy(spark):
-    rows = samples()
-    data = [("en", v, t.replace(".", ".|").split("|")[:-1]) for _, _, t, v in rows]
-    m = LevelModel().fit(data[:100])
+def graded(n, seed=4):
+    """Texts of three grades of length by three of vocabulary; the level is the sum of the two."""
+    rnd = random.Random(seed)
+    easy, hard = "cat dog sun bed red map".split(), "stratification homeostasis permeability jurisprudence epidemiology".split()
+    out = []
+    for k in range(n):
+        a, b = k % 3, k // 3 % 3
+        size = (4, 9, 22)[a]
+        word = lambda: rnd.choice(hard if rnd.random() < (0.02, 0.25, 0.6)[b] else easy)
+        ss = ["The " + " ".join(word() for _ in range(size + rnd.randrange(-1, 2))) + "." for _ in range(9)]
+        out.append(("en", a + b + 1, ss))
+    return out
+
+
+def points(m, data):
+    import numpy as np
+
+    own = np.repeat(np.arange(len(data)), [len(d[2]) for d in data])
+    v, l = m.document_scores([s for d in data for s in d[2]], np.array(["en"] * len(own)), own, len(data))
+    return np.column_stack([l, v])
+
+
+def test_held_out_accuracy():
     import numpy as np
 
-    parts = [s for d in data[100:] for s in d[2]]
-    own = np.repeat(np.arange(50), 7)
-    z, lengths = m.sentence_levels(parts, np.array(["en"] * len(parts)))
-    p = m.document_levels(z, lengths, own, 50)
-    assert (p.argmax(1) + 1 == [d[1] for d in data[100:]]).mean() >= 0.9 and np.allclose(p.sum(1), 1)
+    m = LevelModel().fit(graded(27))
+    new = graded(600, 5)
+    x, s = points(m, new), m.scales["en"]
+    known = np.column_stack([s.length, s.vocabulary])
+    y = np.array([v for _, v, _ in new])
+    alone = Calibration(np.zeros((0, 2)), np.zeros(0), known, s.level).levels(x).argmax(1) + 1
+    both = Calibration(x, np.ones(len(x)), known, s.level).levels(x).argmax(1) + 1
+    assert (alone == y).mean() > 0.85 and (both == y).mean() > 0.93
+    assert sorted(set(LEVEL_OF)) == [1, 2, 3, 4, 5]
+
+
+def test_thousands_of_samples_need_little_memory():
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, random\n"
+        "from glossa.llm.reading import LevelModel\n"
+        "r = random.Random(1)\n"
+        "w = [''.join(r.choice('abcdefghijklmnop') for _ in range(r.randrange(3, 12))) for _ in range(3000)]\n"
+        "LevelModel().fit([('en', k % 5 + 1, [' '.join(r.choice(w) for _ in range(4 + 4 * (k % 5))) for _ in range(8)]) for k in range(4000)])\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(out.stdout.split()[-1]) < 1_500_000  # KB
 
 
 def test_levels_of_odd_documents(spark):
