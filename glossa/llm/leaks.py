@@ -1,16 +1,18 @@
-"""Evaluation passages that stand in training text, by hashed seeds and maximal matches.
+"""Evaluation passages that stand in training text, by suffix arrays of the training text.
 
 Every task turns its shard of documents into one array of token numbers (words
 without case, accents, punctuation and markup; single letters where words are
-not spaced) and sorts its places by a 64-bit hash of the first ``WORDS``
-(``LETTERS``) tokens from there. Only places whose hash some evaluation passage
-has can begin a match of that length, so just these are sorted; it is no suffix
-array, and collisions of hashes are not checked. Every place of every passage is
-then looked up by binary search; each hit that cannot be extended to the left is
-extended to the right as far as the tokens agree, which gives all maximal
-verbatim matches with their places. Matches are summed to the part of a passage
-that a document holds; a changed word or a foreign sentence in between only
-splits a match.
+not spaced) and builds its suffix array: the places at which a match of
+``WORDS`` words (``LETTERS`` letters) can begin, sorted by the tokens from there
+on by prefix doubling, with the lengths that neighbours in this order have in
+common. Only suffixes that begin with such a run of some passage can hold a
+match of that length, so just these are sorted, and only as far as a passage
+could match them. Every suffix of every passage is then placed by binary search,
+comparing tokens: the suffix beside its place is its longest verbatim match in
+the shard, and going outwards from there the common lengths give its match with
+every other document. Matches are summed to the part of a passage that a
+document holds; a changed word or a foreign sentence in between only splits a
+match.
 
 Tokens that no passage holds are all the same to the search, so a shard needs a
 small array of 32-bit numbers, whatever its vocabulary. The passages are a
@@ -112,12 +114,75 @@ def window_keys(t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return key, ok
 
 
+def common_lengths(x: np.ndarray, at: np.ndarray, y: np.ndarray, by: np.ndarray, limit: int) -> np.ndarray:
+    """How many passage tokens the suffixes of ``x`` at ``at`` and of ``y`` at ``by`` have in common, ``limit`` at most."""
+    length = np.zeros(len(at), np.int64)
+    live = np.arange(len(at))
+    for _ in range(limit):
+        a, b = at[live] + length[live], by[live] + length[live]
+        inside = (a < len(x)) & (b < len(y))
+        live, a, b = live[inside], a[inside], b[inside]
+        live = live[(x[a] == y[b]) & (x[a] >= 0)]
+        if not len(live):
+            break
+        length[live] += 1
+    return length
+
+
+def suffix_array(shard: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """``at`` (ascending places of windows of ``size`` passage tokens that a passage holds) in the order of their suffixes.
+
+    Windows are ranked by their tokens, then pairs, fours and so on of windows
+    that follow each other. A window no passage holds ends a suffix: no match
+    goes on behind it.
+    """
+    places = np.union1d(at, at[at + size < len(shard)] + size)
+    n = len(places)
+    own = places[:, None] + np.arange(size)
+    windows = np.where(own < len(shard), shard[np.minimum(own, len(shard) - 1)], -1)
+    windows = np.where(np.minimum.accumulate(windows >= 0, axis=1), windows, -1)
+    order = np.lexsort(windows.T[::-1])
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.cumsum(np.r_[True, (windows[order[1:]] != windows[order[:-1]]).any(1)])
+    begins = np.searchsorted(places, at)
+    after = np.full(n + 1, n)
+    further = np.searchsorted(places, at + size)
+    after[begins] = np.where(at + size < len(shard), further, n)
+    while True:
+        pair = rank[:-1] * (n + 1) + rank[after[:-1]]
+        _, finer = np.unique(pair, return_inverse=True)
+        known, rank[:-1] = rank.max(), finer + 1
+        if rank.max() == known:
+            break
+        after = after[after]
+    return at[np.argsort(rank[begins], kind="stable")]
+
+
+def place(p_flat: np.ndarray, starts: np.ndarray, shard: np.ndarray, suffixes: np.ndarray, limit: int) -> np.ndarray:
+    """The place of each passage suffix in the suffix array, by binary search over tokens."""
+    lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(suffixes), np.int64)
+    while True:
+        live = np.flatnonzero(lo < hi)
+        if not len(live):
+            return lo
+        mid = (lo[live] + hi[live]) // 2
+        s = suffixes[mid]
+        same = common_lengths(p_flat, starts[live], shard, s, limit)
+        mine = p_flat[starts[live] + same]
+        its = np.where(s + same < len(shard), shard[np.minimum(s + same, len(shard) - 1)], -1)
+        more = mine > its
+        lo[live[more]] = mid[more] + 1
+        hi[live[~more]] = mid[~more]
+
+
 def shard_matches(p: Passages, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage place, shard place, length) of every maximal match of a window or more."""
     found = []
+    limit = int(p.sizes.max(initial=0)) + 1
     for size, keys, places in p.windows:
         if not len(keys):
             continue
+        # Suffixes that can match, and passage suffixes they can match with, by hashes of their first windows.
         key, ok = window_keys(shard, size)
         at = np.flatnonzero(ok)
         distinct = np.unique(keys)
@@ -125,31 +190,31 @@ def shard_matches(p: Passages, shard: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at = at[distinct[np.minimum(hit, len(distinct) - 1)] == key[at]]
         if not len(at):
             continue
-        # The shard's suffix array, over the suffixes that can begin a match.
-        depth = [shard[np.minimum(at + d, len(shard) - 1)] for d in range(size + 2, size - 1, -1)]
-        suffixes = at[np.lexsort((*depth, key[at]))]
-        sorted_keys = key[suffixes]
-        lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-        n = hi - lo
-        t = np.repeat(places, n)
-        s = suffixes[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-        # Left-maximal hits only: the others are inside a longer match.
-        first = (p.flat[t - 1] != np.where(s > 0, shard[np.maximum(s - 1, 0)], -3)) | (p.flat[t - 1] < 0)
-        t, s = t[first], s[first]
-        length = np.full(len(t), size, np.int64)
-        live = np.arange(len(t))
-        while len(live):
-            a, b = t[live] + length[live], s[live] + length[live]
-            inside = b < len(shard)
-            same = np.zeros(len(live), bool)
-            same[inside] = (p.flat[a[inside]] == shard[b[inside]]) & (p.flat[a[inside]] >= 0)
-            live = live[same]
-            length[live] += 1
-        found.append((t, s, length))
+        there = np.unique(key[at])
+        starts = places[there[np.minimum(np.searchsorted(there, keys), len(there) - 1)] == keys]
+        suffixes = suffix_array(shard, at, size)
+        shared = np.r_[0, common_lengths(shard, suffixes[:-1], shard, suffixes[1:], limit), 0]
+        spot = place(p.flat, starts, shard, suffixes, limit)
+        for step in (-1, 1):
+            j = spot - 1 if step < 0 else spot.copy()
+            live = np.flatnonzero((j >= 0) & (j < len(suffixes)))
+            length = common_lengths(p.flat, starts[live], shard, suffixes[j[live]], limit)
+            j = j[live]
+            while True:
+                go = length >= size
+                live, j, length = live[go], j[go], length[go]
+                if not len(live):
+                    break
+                found.append((starts[live], suffixes[j], length))
+                length = np.minimum(length, shared[j if step < 0 else j + 1])
+                j = j + step
     if not found:
         z = np.array([], np.int64)
         return z, z, z
-    return tuple(np.concatenate(x) for x in zip(*found))
+    t, s, n = (np.concatenate(x) for x in zip(*found))
+    # Left-maximal matches only: the others are inside a longer one.
+    first = (p.flat[t - 1] != np.where(s > 0, shard[np.maximum(s - 1, 0)], -3)) | (p.flat[t - 1] < 0)
+    return t[first], s[first], n[first]
 
 
 def coherent_tokens(start: np.ndarray, length: np.ndarray, at: np.ndarray, size: int) -> int:

@@ -132,6 +132,12 @@ def p8_report(spark, sf_dir):
     )
 
 
+def p8_clean(spark, sf_dir):
+    """The documents that hold no evaluation passage."""
+    from glossa.llm.leaks import without_leaks
+
+    return without_leaks(table(spark, sf_dir, "documents"), _p8(spark, sf_dir)).select("doc_id", "source")
+
 
 def _p9(spark, sf_dir):
     from glossa.llm.reading import reading_levels

@@ -75,6 +75,38 @@ def test_leaks_in_short_runs(spark):
     assert sorted(r.doc_id for r in leaked(d, spark.createDataFrame([(1, " ".join(w))], "item_id long, passage string")).collect()) == [1, 2, 4]
 
 
+def test_suffix_array_gives_all_maximal_matches():
+    import numpy as np
+
+    from glossa.llm.leaks import Passages, shard_matches, suffix_array
+
+    rnd = random.Random(9)
+    for k in range(60):
+        letters = "abcde"[: rnd.randrange(2, 6)]
+        p = Passages([(i, " ".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 40)))) for i in range(5)])
+        shard = np.array([x for _ in range(8) for x in [*(p.vocab.get(rnd.choice(letters + "x"), -1) for _ in range(rnd.randrange(40))), -1]], np.int64)
+        want = set()
+        for t in range(1, len(p.flat) - 1):
+            for s in range(len(shard)):
+                n = 0
+                while s + n < len(shard) and p.flat[t + n] >= 0 and p.flat[t + n] == shard[s + n]:
+                    n += 1
+                if n >= 5 and (s == 0 or p.flat[t - 1] < 0 or p.flat[t - 1] != shard[s - 1]):
+                    want.add((t, s, n))
+        assert set(zip(*(x.tolist() for x in shard_matches(p, shard)))) == want
+    shard = np.array([1, 1, 1, 1, 1, 1, 1, -1, 1, 1, 1, 1, 1, 2], np.int64)
+    order = suffix_array(shard, np.array([0, 1, 2, 8, 9]), 5).tolist()
+    assert order == sorted([0, 1, 2, 8, 9], key=lambda a: shard[a:].tolist())
+
+
+def test_clean_corpus(spark):
+    from glossa.llm.leaks import without_leaks
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "b")], "doc_id long, text string")
+    leaks = spark.createDataFrame([(2, 7), (2, 8)], "doc_id long, item_id long")
+    assert sorted((r.doc_id or 0) for r in without_leaks(docs, leaks).collect()) == [0, 1]
+
+
 def test_features_are_those_of_single_sentences():
     import numpy as np
 
@@ -143,7 +175,7 @@ def test_thousands_of_samples_need_little_memory():
         "from glossa.llm.reading import LevelModel\n"
         "r = random.Random(1)\n"
         "w = [''.join(r.choice('abcdefghijklmnop') for _ in range(r.randrange(3, 12))) for _ in range(3000)]\n"
-        "LevelModel().fit([('en', k % 5 + 1, [' '.join(r.choice(w) for _ in range(4 + 4 * (k % 5))) for _ in range(8)]) for k in range(4000)])\n"
+        "LevelModel().fit([('en', k % 5 + 1, [' '.join(r.choice(w) for _ in range(4 + 4 * (k % 5))) for _ in range(8)]) for k in range(2000)])\n"
         "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
     )
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
