@@ -3,10 +3,14 @@
 Two passes over the corpus. The first counts, for each language, how often each
 word stands with and without a closing period and what follows it. From these
 counts log-likelihood ratios give the language's abbreviations, the words that
-start sentences, the abbreviations that may also end one (those whose
-capitalised followers are sentence starters rather than names, as in a title
-before a surname), and, for Thai, the letters that end and begin sentences at
-white space. The second pass classifies every period with these statistics.
+start sentences, the collocations (a type with its period and the word or number
+that follows it more often than by chance, so that the period between them ends
+nothing), and, for Thai, the letters that end and begin sentences at white
+space. An abbreviation may also end a sentence if its capitalised followers are
+mostly sentence starters rather than names, as in a title before a surname. The
+second pass classifies every period with these statistics: after an abbreviation,
+an initial or a number a collocation continues the sentence, a starter begins
+another, and the type's own flag decides the rest.
 
 The counts are summed by Spark; only the learned model, which is small against
 the corpus, is used on the executors. It is broadcast if it has at most
@@ -28,16 +32,17 @@ from glossa.runtime import spread
 
 MODEL_ROWS = 200_000
 
-#: Least log-likelihood ratios: abbreviation (after length and period factors)
-#: and sentence starter.
-ABBR_LLR, START_LLR = 1.0, 25.0
+#: Least log-likelihood ratios: abbreviation (after length and period factors),
+#: sentence starter, collocation with a number and with a word (of which there
+#: are many more to be tested), and Thai edge.
+ABBR_LLR, START_LLR, NUMBER_LLR, PAIR_LLR, TH_LLR = 1.0, 25.0, 7.88, 25.0, 3.84
+#: Last letters by which words too rare for a statistic of their own are judged before numbers.
+TAIL = 3
 #: Share of an abbreviation's followers that must be other than sentence
 #: starters, and share of its capitalised followers from which it may end one.
 ABBR_INSIDE, FINAL_SHARE = 0.08, 0.5
-#: Letters of a Thai sentence's end and beginning that are counted, longest first;
-#: how often an edge must stand beside foreign words before it can count as one
-#: that continues the sentence.
-TH_EDGES, TH_LEAST = (5, 3), 3
+#: Letters of a Thai sentence's end and beginning that are counted, longest first.
+TH_EDGES = (5, 3)
 
 CASED = ("en", "fr", "es", "de")
 KNOWN = frozenset((*CASED, "zh", "ja", "ar", "hi", "th"))
@@ -207,8 +212,24 @@ def _xlogy(x, y):
     return F.when(x <= 0, F.lit(0.0)).otherwise(x * F.log(F.greatest(y, F.lit(1e-12))))
 
 
+def _llr(a, b, ab, n):
+    """Dunning's ratio of a pair seen ``ab`` times, of events seen ``a`` and ``b`` times in ``n``."""
+    a, b, ab, n = (c.cast("double") for c in (a, b, ab, n))
+    p, p1, p2 = b / n, ab / a, (b - ab) / F.greatest(n - a, F.lit(1.0))
+    return -2 * (
+        _xlogy(ab, p) + _xlogy(a - ab, 1 - p) + _xlogy(b - ab, p) + _xlogy(n - a - b + ab, 1 - p)
+        - _xlogy(ab, p1) - _xlogy(a - ab, 1 - p1) - _xlogy(b - ab, p2) - _xlogy(n - a - b + ab, 1 - p2)
+    )
+
+
+def _pair(a: str, b: str, ab: str, n: str, least: float):
+    """Whether a pair is seen significantly more often than by chance."""
+    a, b, ab, n = (F.col(c).cast("double") for c in (a, b, ab, n))
+    return (_llr(a, b, ab, n) >= least) & (ab * n > a * b)
+
+
 def learn_model(counts: DataFrame) -> DataFrame:
-    """``(lang, kind, w, final)``: abbreviations, sentence starters and Thai edges by log-likelihood."""
+    """``(lang, kind, w, final)``: abbreviations, sentence starters, collocations and Thai edges by log-likelihood."""
     from glossa.runtime import cut
 
     # Latin languages count for themselves and for texts whose language isn't given.
@@ -232,13 +253,9 @@ def learn_model(counts: DataFrame) -> DataFrame:
     )
     breaks = after.groupBy("lang").agg(F.sum("cab").alias("cb"))
     s = upper.join(after, ["lang", "w"]).join(F.broadcast(breaks), "lang").join(F.broadcast(totals), "lang")
-    ca, cb, cab, n = (F.col(c).cast("double") for c in ("ca", "cb", "cab", "N"))
-    cab = F.least(cab, ca)
-    p, p1, p2 = cb / n, cab / ca, (cb - cab) / F.greatest(n - ca, F.lit(1.0))
-    llr = -2 * (
-        _xlogy(cab, p) + _xlogy(ca - cab, 1 - p) + _xlogy(cb - cab, p) + _xlogy(n - ca - cb + cab, 1 - p)
-        - _xlogy(cab, p1) - _xlogy(ca - cab, 1 - p1) - _xlogy(cb - cab, p2) - _xlogy(n - ca - cb + cab, 1 - p2)
-    )
+    ca, cb, n = (F.col(c).cast("double") for c in ("ca", "cb", "N"))
+    cab = F.least(F.col("cab").cast("double"), ca)
+    llr, p, p1 = _llr(ca, cb, cab, n), cb / n, cab / ca
     starters = s.where((llr >= START_LLR) & (p1 > p)).select("lang", "w")
 
     period = counts.where("kind = 'period'").join(
@@ -266,6 +283,25 @@ def learn_model(counts: DataFrame) -> DataFrame:
         "lang", F.lit("abbr").alias("kind"), "w", F.when(F.col("caps") > 0, final).otherwise(F.lit(False)).alias("final")
     )
 
+    # Collocations of a type, or of its last letters, with its period and a number ("<9>"), and of a type that
+    # would else end the sentence with a capitalised word that is no starter, against the followers of all periods.
+    tails = period.where(~F.col("a").startswith("##") & (F.length("a") > TAIL)).withColumn("a", F.concat(F.lit("~"), F.expr(f"right(a, {TAIL})")))
+    typed = period.select("lang", "a", "b", "n").unionByName(tails.select("lang", "a", "b", "n"))
+    before = typed.groupBy("lang", F.col("a").alias("w")).agg(F.sum("n").alias("wp"), F.sum(F.when(F.col("b") == "<9>", F.col("n")).otherwise(0)).alias("ab"))
+    sides = period.groupBy("lang").agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("b") == "<9>", F.col("n")).otherwise(0)).alias("numbers"),
+        F.sum(F.when(caps, F.col("n")).otherwise(0)).alias("words"),
+    )
+    numbers = before.where("ab > 0").join(F.broadcast(sides), "lang").where(_pair("wp", "numbers", "ab", "all", NUMBER_LLR))
+    names = period.where(caps & F.col("starts").isNull()).select("lang", F.col("a").alias("w"), "b", F.col("n").alias("ab"))
+    names = names.join(abbr.where(F.col("final") | F.col("w").isin("##num", "##ini", "##ini2")).select("lang", "w"), ["lang", "w"])
+    followers = period.where(caps).groupBy("lang", "b").agg(F.sum("n").alias("nb"))
+    names = names.join(seen.select("lang", "w", F.col("caps").alias("wc")), ["lang", "w"]).join(followers, ["lang", "b"]).join(F.broadcast(sides), "lang")
+    names = names.where(_pair("wc", "nb", "ab", "words", PAIR_LLR))
+    pairs = numbers.select("lang", "w", F.lit("<9>").alias("b")).unionByName(names.select("lang", "w", "b")).select(
+        "lang", F.lit("pair").alias("kind"), F.concat_ws(" ", "w", "b").alias("w"), F.lit(True).alias("final")
+    )
+
     th = counts.where(F.col("kind").isin("th_end", "th_start"))
     sums = th.groupBy("kind", "b").agg(F.sum("n").alias("total"))
     here = lambda b, x: F.sum(F.when(F.col("b") == b, x).otherwise(0.0))
@@ -278,10 +314,15 @@ def learn_model(counts: DataFrame) -> DataFrame:
             here("foreign", F.col("n")).alias("times"),
         )
     )
-    thai = edges.where((F.col("plain") >= F.col("foreign")) | (F.col("times") >= TH_LEAST)).select(
-        "lang", "kind", "w", (F.col("plain") >= F.col("foreign")).alias("final")
+    # An edge continues the sentence only if it stands beside foreign words significantly more than beside Thai.
+    total = lambda b: F.max(F.when(F.col("b") == b, F.col("total")))
+    sides = sums.groupBy("kind").agg(total("foreign").alias("f"), total("plain").alias("p")).na.fill(0, ["f", "p"])
+    edges = edges.join(F.broadcast(sides), "kind")
+    continues = (F.col("plain") < F.col("foreign")) & (
+        _llr(F.col("times") + F.col("plain") * F.col("p"), F.col("f"), F.col("times"), F.col("f") + F.col("p")) >= TH_LLR
     )
-    return abbr.unionByName(starters.select("lang", F.lit("start").alias("kind"), "w", F.lit(True).alias("final"))).unionByName(thai)
+    thai = edges.where((F.col("plain") >= F.col("foreign")) | continues).select("lang", "kind", "w", (F.col("plain") >= F.col("foreign")).alias("final"))
+    return abbr.unionByName(starters.select("lang", F.lit("start").alias("kind"), "w", F.lit(True).alias("final"))).unionByName(pairs).unionByName(thai)
 
 
 class Splitter:
@@ -323,7 +364,7 @@ class Splitter:
             self._thai(text, lo, hi, quoted, ends)
         else:
             m = self.model.get(lang, {})
-            abbr, start = m.get("abbr", {}), m.get("start", {})
+            known = m.get("abbr", {}), m.get("start", {}), m.get("pair", {})
             for c in _CANDIDATES.get(lang, _LATIN_END).finditer(text, lo, hi):
                 e = c.end()
                 while e < hi and text[e] in CLOSE and not (text[e] in "\"'“" and e + 1 < hi and text[e + 1].isalnum()):
@@ -332,11 +373,11 @@ class Splitter:
                     break
                 if _inside(quoted, c.start(), e):
                     continue
-                if self._ends(text, c, e, hi, lang, abbr, start):
+                if self._ends(text, c, e, hi, lang, *known):
                     ends.append(e)
         ends.append(hi)
 
-    def _ends(self, text, c, e, hi, lang, abbr, start) -> bool:
+    def _ends(self, text, c, e, hi, lang, abbr, start, pair) -> bool:
         mark = c.group()
         n = e
         while n < hi and text[n].isspace():
@@ -375,21 +416,24 @@ class Splitter:
         while b > 0 and not text[b - 1].isspace():
             b -= 1
         w = word_type(text[b : c.end()].lstrip(OPEN))
-        if w in ("##ini", "##ini2") or head.isdigit():
-            return False  # a number continues what the period abbreviates
-        final = abbr.get(w)
+        initial = w in ("##ini", "##ini2")  # without evidence the first letter of a name
+        if head.isdigit():
+            # A number may continue what the period abbreviates.
+            return not (w in abbr or initial or f"{w} <9>" in pair or len(w) > TAIL and f"~{w[-TAIL:]} <9>" in pair)
+        final = False if initial else abbr.get(w)
         if final is None:
             return True
         if head.islower():
             return w == "##num" and final
         if not head.isupper():
             return lang == "ar" and w == "##num" or k > n and final
-        if final:
-            return True
         f = k
         while f < hi and (text[f].isalnum() or text[f] in "'’-"):
             f += 1
-        return w == "##num" and text[k:f] in start
+        follower = text[k:f]
+        if f"{w} {follower}" in pair:
+            return False
+        return final or follower in start and not (initial and len(follower) == 1)
 
     def _thai(self, text: str, lo: int, hi: int, quoted, ends: list[int]) -> None:
         m = self.model.get("th", {})
@@ -495,8 +539,12 @@ def with_own_entries(src: DataFrame, model: DataFrame) -> DataFrame:
                     if key == "th":
                         seen = {w for m in _SPACE.finditer(text) for side in _thai_edges(text, m.start(), m.end()) for w in side}
                     else:
-                        toks = [t.strip(OPEN + CLOSE) for t in text.split()]
+                        raw = text.split()
+                        toks = [t.strip(OPEN + CLOSE) for t in raw]
                         seen = {word_type(t) for t in toks if t.endswith(".")} | {t.rstrip(".,;:!?…") for t in toks}
+                        ended = [(word_type(t), _next_class(n)) for t, n in zip(toks, raw[1:]) if t.endswith(".")]
+                        seen |= {f"{w} {n}" for w, n in ended} | {f"~{w[-TAIL:]} {n}" for w, n in ended}
+                        seen |= {n for _, n in ended}
                     out += [(row, key, w) for w in seen]
             yield pd.DataFrame(out, columns=["_row", "lang", "w"])
 

@@ -89,3 +89,32 @@ def test_both_ways_of_sharing_the_model_agree(spark, monkeypatch):
 
 def test_language():
     assert [language(*x) for x in (("EN ", "x"), (None, "नमस्ते"), ("zz", "hello"), (None, "漢字かな"), (None, "汉字"))] == ["en", "hi", "xx", "ja", "zh"]
+
+
+def test_collocations_initials_and_numbers_are_decided_by_statistics(spark):
+    from glossa.llm.sentences import Splitter, corpus_counts, learn_model
+
+    rows = []
+    for k in range(120):
+        name = "".join("bdfgk"[k // 5**i % 5] + "aeiou"[k // 3**i % 5] for i in range(4))
+        rows += [
+            f"It is known! The {name} ran, as in Fig. {k} of the book. It was seen by Dr. {name.title()} of the town.",
+            f"The {name} slept well! It came from {name} et al. In the north the {name} sang. It met {name} et al. It went home.",
+            f"The house of J. {name.title()} is old. It stands by the {name}.",
+        ]
+    docs = spark.createDataFrame([(r, "en") for r in rows], "text string, lang string")
+    model = [tuple(r) for r in learn_model(corpus_counts(docs, "text", "lang")).collect()]
+    assert ("en", "pair", "fig <9>", True) in model
+    split = Splitter(model)
+    cut = lambda t: [t[a:b] for a, b in split.spans(t, "en")]
+    assert cut("He needs vitamin C. It helps bones.") == ["He needs vitamin C.", "It helps bones."]
+    assert cut("The house of J. Baker is old. It fell.") == ["The house of J. Baker is old.", "It fell."]
+    assert cut("He left early. 12 men stayed there.") == ["He left early.", "12 men stayed there."]
+    assert cut("It is in Fig. 7 of it.") == ["It is in Fig. 7 of it."]
+
+
+def test_a_fixed_expression_over_a_period_is_a_collocation(spark):
+    from glossa.llm.sentences import _pair
+
+    row = spark.createDataFrame([(100, 40, 38, 20000), (100, 40, 1, 20000), (100, 9000, 50, 20000)], "a long, b long, ab long, n long")
+    assert [r.x for r in row.select(_pair("a", "b", "ab", "n", 25.0).alias("x")).collect()] == [True, False, False]
