@@ -13,31 +13,39 @@ letters, brackets, the label itself) and goes through two stages:
    that is itself another word of the reference vocabulary is no spelling.
    The cheapest entry wins; the label decides between entries.
 
+Near words are found by counts of letters, which no edit changes by more than
+one each way: one array operation over the vocabulary leaves the few words whose
+edit distance is then computed.
+
 There is no shuffle: values are matched where they are read, and each task
-remembers the values it has seen. The reference is broadcast in blocks of at
-most ``BLOCK`` entries; a larger list is worked through block by block, and the
-best entry of all blocks is taken.
+remembers the values it has seen. The reference is broadcast in blocks of about
+``BLOCK`` entries, those with the same letters together; a larger list is worked
+through block by block, and the best entry of all blocks is taken. Every block
+knows the words and labels of the whole list, so the answer doesn't depend on
+the blocks; the words of a list must number ``VOCABULARY`` at most.
 """
 
 from __future__ import annotations
 
 import html
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.runtime import spread
+from glossa.runtime import cut, spread
 
-BLOCK = 50_000
+BLOCK, VOCABULARY = 50_000, 1_000_000
 MEMO = 300_000
 
-#: Words that join others in a name; a value may leave them out or add them.
+# Words that join others in a name; a value may leave them out or add them.
 JOINING = frozenset("a al and da de del des di do du el for in la las le les los of on the und van von y et".split())
 
 _TAG = regex.compile(r"<[^<>]*>")
@@ -97,10 +105,44 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+def name_words(name: str) -> tuple[list[str], list[str]]:
+    """(all words of a name, those that don't just join others)."""
+    words = [w.rstrip(".") for w in _WORD.findall(fold(name))]
+    return words, [w for w in words if w not in JOINING] or words
+
+
+class Bags:
+    """Words by length with the counts of their letters in ``SIZE`` classes."""
+
+    SIZE = 32
+
+    def __init__(self, words):
+        self.words = sorted(words, key=lambda w: (len(w), w))
+        self.first = np.array([len(w) for w in self.words], np.int64)
+        self.counts = np.zeros((len(self.words), self.SIZE), np.int16)
+        if self.words:
+            own = np.repeat(np.arange(len(self.words)), self.first)
+            np.add.at(self.counts, (own, self._classes("".join(self.words))), 1)
+
+    def _classes(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % self.SIZE
+
+    def near(self, w: str, shortest: int, longest: int, most: int) -> list[str]:
+        """All words of the given lengths within ``most`` edits of ``w``, and some more."""
+        lo, hi = np.searchsorted(self.first, [shortest, longest + 1])
+        gap = self.counts[lo:hi] - np.bincount(self._classes(w), minlength=self.SIZE).astype(np.int16)
+        over = np.maximum(gap, 0).sum(1)
+        return [self.words[lo + i] for i in np.flatnonzero(np.maximum(over, over - gap.sum(1)) <= most)]
+
+
 class Matcher:
-    """Finds the entry a value means. ``entries``: (ref_id, label, name)."""
+    """Finds the entry a value means. ``entries``: (ref_id, label, name).
 
-    def __init__(self, entries: list[tuple[int, str | None, str | None]]):
+    ``words`` and ``labels`` are those of the whole list where ``entries`` are a
+    block of it.
+    """
+
+    def __init__(self, entries: list[tuple[int, str | None, str | None]], words=None, labels=None):
         import ahocorasick
 
         self.entries: list[tuple[int, str, list[str], list[str]]] = []
@@ -109,76 +151,88 @@ class Matcher:
         for ref_id, label, name in entries:
             if ref_id is None or not name:
                 continue
-            words = [w.rstrip(".") for w in _WORD.findall(fold(name))]
-            if not words:
+            all_words, main = name_words(name)
+            if not all_words:
                 continue
             k = len(self.entries)
-            main = [w for w in words if w not in JOINING] or words
-            self.entries.append((ref_id, label_key(label), words, main))
+            self.entries.append((ref_id, label_key(label), all_words, main))
             for w in set(main):
                 self.postings[w].add(k)
-            for alias in {" ".join(words), " ".join(main), "".join(words)}:
+            for alias in {" ".join(all_words), " ".join(main), "".join(all_words)}:
                 self.names[f" {alias} "].append(k)
-        self.labels = frozenset(e[1] for e in self.entries if e[1]) - {label_key(w) for w in self.postings}
+        self.vocabulary = frozenset(self.postings if words is None else words)
+        self.labels = frozenset(e[1] for e in self.entries if e[1]) if labels is None else frozenset(labels)
+        self.longest = max(map(len, self.labels), default=0)
+        self.labels -= {label_key(w) for w in self.vocabulary}
+        self.most_words = max((len(e[3]) for e in self.entries), default=0)  # a value of more words is no entry
         self.automaton = ahocorasick.Automaton()
         for alias, ks in self.names.items():
             self.automaton.add_word(alias, (len(alias), tuple(ks)))
         if self.names:
             self.automaton.make_automaton()
-        self.by_size: dict[int, list[str]] = defaultdict(list)
-        for w in self.postings:
-            self.by_size[len(w)].append(w)
+        self.sorted = sorted(self.vocabulary)
+        self.bags = Bags(self.vocabulary)
+        self.beginnings = lru_cache(None)(self._beginnings)
         self.spellings = lru_cache(MEMO)(self._spellings)
         self.memo: dict[tuple[str | None, str], tuple[int, float]] = {}
 
+    def _starting(self, w: str) -> list[str]:
+        """The words of the vocabulary that begin with ``w``."""
+        lo = hi = bisect_left(self.sorted, w)
+        while hi < len(self.sorted) and self.sorted[hi].startswith(w):
+            hi += 1
+        return self.sorted[lo:hi]
+
+    def _beginnings(self, n: int) -> Bags:
+        """The first ``n`` letters of all longer words."""
+        return Bags({x[:n] for x in self.vocabulary if len(x) >= n})
+
     def _spellings(self, token: str) -> tuple[tuple[str, float], ...]:
         """Reference words that ``token`` may be a spelling of, with a cost."""
         w = token.rstrip(".")
-        if w in self.postings:
+        if w in self.vocabulary:
             return ((w, 0.0),)
         for end, other in (("s", ""), ("es", ""), ("ies", "y")):
-            if w.endswith(end) and w[: -len(end)] + other in self.postings:
+            if w.endswith(end) and w[: -len(end)] + other in self.vocabulary:
                 return ((w[: -len(end)] + other, 0.1),)
         found: dict[str, float] = {}
         if len(w) >= 3 and token.endswith("."):
-            for x in self.postings:
-                if x.startswith(w):
-                    found[x] = 0.3
-                elif len(w) >= 4 and len(x) > len(w) and min(edits(w, x[:n], 1) for n in range(len(w) - 1, len(w) + 2)) <= 1:
-                    found.setdefault(x, 0.7)
+            found = dict.fromkeys(self._starting(w), 0.3)
+            if not found and len(w) >= 4:
+                heads = {h for n in range(len(w) - 1, len(w) + 2) for h in self.beginnings(n).near(w, n, n, 1) if edits(w, h, 1) <= 1}
+                found = {x: 0.7 for h in heads for x in self._starting(h) if len(x) > len(w)}
             if found:
-                best = min(found.values())
-                return tuple((x, c) for x, c in found.items() if c <= best)
+                return tuple(found.items())
         if w[-2:] in ("'l", "’l"):  # as in nat'l
-            return tuple((x, 0.3) for x in self.postings if x.startswith(w[:-2]) and x.endswith("l"))
+            return tuple((x, 0.3) for x in self._starting(w[:-2]) if x.endswith("l"))
         if len(w) < 3:
             return ()
-        for size in range(len(w) - 3, len(w) + 4):
-            for x in self.by_size.get(size, ()):
-                most = 1 if len(x) < 4 else 2 if len(x) < 9 or w[0] != x[0] else 3
-                d = edits(w, x, most)
-                if d > most and w.endswith("s"):
-                    d = edits(w[:-1], x, most)
-                if d <= most:
-                    found[x] = 0.4 * d
+        near = set(self.bags.near(w, len(w) - 3, len(w) + 3, 3))
+        if w.endswith("s"):
+            near |= set(self.bags.near(w[:-1], len(w) - 3, len(w) + 3, 3))
+        for x in near:
+            most = 1 if len(x) < 4 else 2 if len(x) < 9 or w[0] != x[0] else 3
+            d = edits(w, x, most)
+            if d > most and w.endswith("s"):
+                d = edits(w[:-1], x, most)
+            if d <= most:
+                found[x] = 0.4 * d
         if not found and len(w) >= 4:
-            for x in self.postings:
-                if len(x) > len(w) >= 0.55 * len(x) and x.startswith(w):
-                    found[x] = 0.5
+            found = {x: 0.5 for x in self._starting(w) if len(x) > len(w) >= 0.55 * len(x)}
         if found:
             best = min(found.values())
             found = {x: c for x, c in found.items() if c <= best + 1e-9}
-        return tuple(found.items())
+        return tuple(sorted(found.items()))
 
     def _split(self, token: str) -> list[tuple[str, str]]:
         """Two words that may have been written as one."""
         w = token.rstrip(".")
-        if len(w) < 7 or w in self.postings:
+        if len(w) < 7 or w in self.vocabulary:
             return []
         out = []
         for i in range(2, len(w) - 1):
             a, b = w[:i], w[i:]
-            if a in self.postings and (b in JOINING or self.spellings(b)) or b in self.postings and (a in JOINING or self.spellings(a)):
+            if a in self.vocabulary and (b in JOINING or self.spellings(b)) or b in self.vocabulary and (a in JOINING or self.spellings(a)):
                 out.append((a, b))
         return out
 
@@ -197,7 +251,7 @@ class Matcher:
         known = label_key(label)
         tokens = _WORD.findall(text)
         if label and len(tokens) == 1 and tokens[0].isalnum() and len(_WORD.findall(clean(label))) > 1 or (
-            label and label_key(value) and len(_WORD.findall(clean(label))) > 1 and len(label_key(value)) <= 10 and len(tokens) >= 1
+            label and label_key(value) and len(_WORD.findall(clean(label))) > 1 and len(label_key(value)) <= self.longest and len(tokens) >= 1
             and all(len(t.rstrip(".")) == 1 for t in tokens)
         ):
             known, text = label_key(value), clean(label)  # the two fields are interchanged
@@ -205,12 +259,12 @@ class Matcher:
         if not known and len(tokens) > 1:
             # A label written with the value takes the place of a missing one.
             known = next((k for k in map(label_key, tokens) if k in self.labels), "")
-        bare = [t for t in tokens if label_key(t) != known or t.rstrip(".") in self.postings] if known else tokens
+        bare = [t for t in tokens if label_key(t) != known or t.rstrip(".") in self.vocabulary] if known else tokens
         found = self._mentions(bare, known)
         if found is not None:
             return found
         tries = [bare]
-        if len(bare) > 1 and ":" in text and len(bare[0]) <= 10 and bare[0] not in self.postings:
+        if len(bare) > 1 and ":" in text and len(bare[0]) <= self.longest and bare[0] not in self.vocabulary:
             tries.append(bare[1:])
         best = (float("inf"), -1)
         for words in tries:
@@ -251,14 +305,14 @@ class Matcher:
 
     def _sets(self, words: list[str], known: str) -> tuple[float, int]:
         """Cheapest entry with a one-to-one assignment of all words: (cost, entry)."""
-        if not words or len(words) > 12:
+        if not words or len(words) > self.most_words:
             return float("inf"), -1
         options = [self.spellings(w) for w in words]
         if not all(options):
             return float("inf"), -1
         candidates: set[int] | None = None
         for o in options:
-            here = set().union(*(self.postings[w] for w, _ in o))
+            here = set().union(*(self.postings.get(w, ()) for w, _ in o))
             candidates = here if candidates is None else candidates & here
         best = (float("inf"), -1)
         for k in candidates or ():
@@ -313,23 +367,49 @@ def map_to_reference(
     )
     ref = reference.select(F.col(ref_id).cast("long").alias("r"), F.col(ref_label).alias("l"), F.col(ref_name).alias("n")).where("r is not null")
     blocks = max(1, -(-ref.count() // BLOCK))
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ref_id", T.LongType()), T.StructField("cost", T.DoubleType())])
-
-    def one(block: int) -> DataFrame:
-        part = ref if blocks == 1 else ref.where(F.pmod(F.xxhash64("r"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(x) for x in part.orderBy("r").collect()])
+    words = labels = None
+    if blocks > 1:
+        words, labels = _whole_list(ref)
+    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ref_id", T.LongType())])
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast([tuple(x) for x in ref.orderBy("r").collect()])
 
         def run(batches):
             m = Matcher(shared.value)
             for pdf in batches:
-                got = [m.match(l, v) for l, v in zip(pdf["label"], pdf["value"])]
-                yield pd.DataFrame({id_col: pdf["id"], "ref_id": [g[0] for g in got], "cost": [g[1] for g in got]})
+                yield pd.DataFrame({id_col: pdf["id"], "ref_id": [m.match(l, v)[0] for l, v in zip(pdf["label"], pdf["value"])]})
 
         return src.mapInPandas(run, schema)
 
-    if blocks == 1:
-        return one(0).drop("cost")
-    out = one(0)
-    for b in range(1, blocks):
-        out = out.unionByName(one(b))
-    return out.groupBy(id_col).agg(F.min_by("ref_id", F.struct("cost", "ref_id")).alias("ref_id"))
+    known = spark.sparkContext.broadcast((words, labels))
+    # Entries that may be told apart only by their labels have the same letters and so the same block.
+    letters = F.udf(lambda n: "".join(sorted("".join(name_words(n)[1]))) if n else "")
+    ref = cut(ref.withColumn("b", F.pmod(F.xxhash64(letters("n")), F.lit(blocks))))
+    carried = T.StructType([*src.schema.fields, T.StructField("best", T.LongType()), T.StructField("cost", T.DoubleType())])
+    out = src.select("*", F.lit(-1).cast("long").alias("best"), F.lit(float("inf")).alias("cost"))
+    for block in range(blocks):
+        shared = spark.sparkContext.broadcast([tuple(x) for x in ref.where(F.col("b") == block).select("r", "l", "n").orderBy("r").collect()])
+
+        def run(batches, shared=shared):
+            m = Matcher(shared.value, *known.value)
+            for pdf in batches:
+                got = [m.match(l, v) for l, v in zip(pdf["label"], pdf["value"])]
+                pick = [min((c, b < 0, b), (g[1], g[0] < 0, g[0])) for g, b, c in zip(got, pdf["best"], pdf["cost"])]
+                yield pdf.assign(best=[x[2] for x in pick], cost=[x[0] for x in pick])
+
+        out = cut(out.mapInPandas(run, carried))
+    return out.select(F.col("id").alias(id_col), F.col("best").alias("ref_id"))
+
+
+def _whole_list(ref: DataFrame) -> tuple[frozenset, frozenset]:
+    """(words, labels) of the whole reference; a list of more than ``VOCABULARY`` words is refused."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = {("w", w) for n in pdf["n"] if n for w in name_words(n)[1]} | {("l", k) for l in pdf["l"] if (k := label_key(l))}
+            yield pd.DataFrame(list(rows), columns=["k", "v"])
+
+    rows = ref.mapInPandas(run, "k string, v string").distinct().limit(2 * VOCABULARY + 1).collect()
+    if len(rows) > 2 * VOCABULARY:
+        raise ValueError(f"the reference has more than {VOCABULARY} words and labels each can hold")
+    return frozenset(r["v"] for r in rows if r["k"] == "w"), frozenset(r["v"] for r in rows if r["k"] == "l")

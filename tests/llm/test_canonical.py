@@ -53,3 +53,42 @@ def test_edits_match_the_plain_definition():
     for _ in range(300):
         a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 6))) for _ in range(2))
         assert edits(a, b, 6) == edits(b, a, 6)
+
+
+def _both_ways(spark, monkeypatch, values, reference):
+    import glossa.llm.canonical as C
+
+    v = spark.createDataFrame(values, "def_id long, acronym string, acronym_expansion string")
+    r = spark.createDataFrame(reference, "ref_id long, acronym string, expansion string")
+    one = sorted(tuple(x) for x in C.map_to_reference(v, r).collect())
+    monkeypatch.setattr(C, "BLOCK", 1)
+    assert sorted(tuple(x) for x in C.map_to_reference(v, r).collect()) == one
+    return one
+
+
+def test_blocks_of_the_reference_do_not_change_the_answer(spark, monkeypatch):
+    reference = [(1, "AB", "alpha beta"), (2, "BG", "beton gamma"), (3, "CD", "cell division"), (4, "DC", "division cell"), (5, None, "alpha beta")]
+    values = [(1, None, "alpha beton"), (2, "AB", "alpha beta"), (2, "AB", "alpha beta"), (3, "CD", "cell divsion"), (4, "DC", "cell division"),
+              (5, None, "gamma beton"), (6, None, "alhpa beta"), (7, "AB", ""), (8, "AB", None)]
+    got = _both_ways(spark, monkeypatch, values, reference)
+    assert (1, -1) in got and got.count((2, 1)) == 2 and (3, 3) in got and (4, 4) in got and (5, 2) in got and len(got) == 7
+
+
+def test_long_names_and_long_values_are_matched():
+    words = "north atlantic deep water mass transport section monitoring station network research programme bureau".split()
+    m = Matcher([(7, None, " ".join(words))])
+    assert len(words) == 13 and m.match(None, " ".join(words).replace("transport", "transprt"))[0] == 7
+    assert m.match(None, " ".join(words * 400))[0] == -1
+
+
+def test_near_words_hold_all_within_the_edits():
+    import random
+
+    from glossa.llm.canonical import Bags, edits
+
+    rnd = random.Random(2)
+    words = {"".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 9))) for _ in range(300)}
+    bags = Bags(words)
+    for w in list(words)[:60]:
+        near = set(bags.near(w, len(w) - 2, len(w) + 2, 2))
+        assert {x for x in words if edits(w, x, 2) <= 2} <= near
