@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from glossa.runtime import cut, sized_broadcast
 
-ROUNDS, SETTLED = 12, 1e-3
+#: Largest change of a tilt at which the rounds end, and rounds after which it is an error that they haven't.
+SETTLED, ROUNDS = 1e-2, 200
 #: Penalties of the annotators' and the items' parameters, and the tilt at which annotators start.
 ANNOTATOR_PENALTY, ITEM_PENALTY, START = 0.5, 4.0, 1.5
 ANNOTATORS_BROADCAST = 200_000
@@ -100,6 +101,7 @@ def consensus(labels: DataFrame, gold: DataFrame | None = None, rounds: int = RO
     items = None
     by_label = Window.partitionBy(*key, "label")
     for r in range(rounds):
+        damp = min(1.0, 20 / (r + 1))  # slower steps if the rounds don't settle
         small, p = sized_broadcast(params, ANNOTATORS_BROADCAST)
         x = base.join(p, "annotator")
         x = x.join(items, key) if items is not None else x.withColumn("beta", F.lit(0.0))
@@ -116,13 +118,15 @@ def consensus(labels: DataFrame, gold: DataFrame | None = None, rounds: int = RO
         x = cut(x.select(*key, "annotator", "label", "k", "gold", "alpha", "beta", "q", "p"))
         surplus, curve = F.sum(F.col("q") - F.col("p")), F.sum(F.col("p") * (1 - F.col("p")))
         fresh = x.groupBy("annotator").agg(surplus.alias("g"), curve.alias("h"), F.first("alpha").alias("old"), F.avg("q").alias("reliability"), F.count("*").alias("labels"))
-        fresh = cut(fresh.withColumn("alpha", F.col("old") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("g") - ANNOTATOR_PENALTY * (F.col("old") - START)) / (F.col("h") + ANNOTATOR_PENALTY)))))
+        fresh = cut(fresh.withColumn("alpha", F.col("old") + damp * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("g") - ANNOTATOR_PENALTY * (F.col("old") - START)) / (F.col("h") + ANNOTATOR_PENALTY)))))
         step = x.groupBy(*key).agg(surplus.alias("g"), curve.alias("h"), F.first("beta").alias("b"))
-        items = step.select(*key, (F.col("b") + F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (F.col("g") - ITEM_PENALTY * F.col("b")) / (F.col("h") + ITEM_PENALTY)))).alias("beta"))
+        items = step.select(*key, (F.col("b") + damp * F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (F.col("g") - ITEM_PENALTY * F.col("b")) / (F.col("h") + ITEM_PENALTY)))).alias("beta"))
         moved = fresh.agg(F.max(F.abs(F.col("alpha") - F.col("old")))).first()[0]
         params = fresh.select("annotator", "alpha")
-        if moved is None or moved < SETTLED * 10:
+        if moved is None or moved < SETTLED:
             break
+    else:
+        raise RuntimeError(f"the annotators' tilts haven't settled after {rounds} rounds")
     result = (
         x.groupBy(*key, "label").agg(F.max("q").alias("q"), F.count("*").alias("n"))
         .groupBy(*key)

@@ -55,36 +55,60 @@ _SOURCE = regex.compile(
     r"([\p{L}][\p{L}\p{M} '’&.-]*?),?\s*(?:vol\.?\s*(\d+)\s*,\s*n[o°º]\.?\s*(\d+)|(\d+)\s*\(\s*(\d+)\s*\)|(\d+)\s*,\s*n[o°º]\.?\s*(\d+)|(\d+)\s*/\s*(\d+))\s*[.。।]?\s*[)）]?\s*",
     regex.I,
 )
-_MARKS = regex.compile(r"\p{M}+")
+_MARKS = regex.compile(r"(?<=\p{L&})\p{M}+")  # accents, but not the vowel signs of scripts without case
 
 
 def _fold(s: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFKD", s.casefold())).strip(" .,'’-")
 
 
+_PARTICLE = regex.compile(r"\p{Ll}{1,3}")
+_CASELESS = regex.compile(r"[\p{Lo}\p{M}]")
+
+
 def surname(name: str) -> str | None:
-    """The family name of "First Last", "F. LAST" or "Last, F."; None for what is no name."""
+    """The family name of "First Last", "F. LAST" or "Last, F."; None for what is no name.
+
+    A name written without blanks in a script without case (as in Chinese)
+    stands as a whole, since its family name can't be told safely.
+    """
     name = name.strip(" .。।)）(（,")
     if "," in name:
         family = name.split(",", 1)[0].strip()
     else:
         parts = name.split()
-        if len(parts) < 2:
+        if len(parts) < 2 and not (parts and _CASELESS.match(parts[0])):
             return None
         family = parts[-1]
     family = _fold(family)
     return family if len(family) > 1 else None
 
 
+def _named(name: str, marked: bool) -> bool:
+    """Whether words after an author label are a name: capitalised but for particles, or in a script without case after a mark."""
+    words = name.replace(",", " ").split()
+    if not words or not _NAME.fullmatch(name):
+        return False
+    if words[0][0].isupper():
+        return all(w[0].isupper() or _PARTICLE.fullmatch(w) for w in words) and words[-1][0].isupper()
+    return marked and all(_CASELESS.match(w) for w in words)
+
+
+def _listed(name: str) -> list[str]:
+    """The names of a list divided by commas, in which each has several words; "Last, First" is one name."""
+    parts = [x.strip() for x in name.split(",")]
+    return parts if len(parts) > 1 and all(len(x.split()) > 1 for x in parts) else [name]
+
+
 def entities(text: str) -> set[str]:
-    """Keys of the authors (``a:surname``) and issues (``s:title|volume|number``) a text names."""
+    """Keys of the authors (``a:surname``) and issues (``s:title|volume|number``) a text names in blocks of their own."""
     out: set[str] = set()
-    blocks = _BLOCK.split(text.strip())
-    for block in blocks if len(blocks) > 1 else ():
+    for block in _BLOCK.split(text.strip()):
         block = " ".join(block.split())
-        if not block or len(block) > 200:
+        if not block:
             continue
-        m = _SOURCE.fullmatch(block) or _SOURCE.fullmatch(block.lstrip("(（ "))
+        # A source line ends with a number, which spares most blocks the pattern.
+        m = block.rstrip(" .。।)）")[-1:].isdecimal() and (_SOURCE.fullmatch(block) or _SOURCE.fullmatch(block.lstrip("(（ ")))
         if m:
             vol, no = [x for x in m.groups()[1:] if x]
             title = _fold(" ".join(m.group(1).split()))
@@ -95,8 +119,9 @@ def entities(text: str) -> set[str]:
         if not m:
             continue
         rest = m.group(1).strip(" .。।)）")
-        names = [x.strip() for x in _SPLIT.split(rest)]
-        if names and all(_NAME.fullmatch(x) and len(x.split()) <= 4 and x[:1].isupper() for x in names):
+        names = [y for x in _SPLIT.split(rest) for y in _listed(x.strip())]
+        marked = block[m.start(1) - 1 : m.start(1)] in tuple(" :：／/")
+        if names and all(_named(x, marked) for x in names):
             out |= {f"a:{s}" for s in map(surname, names) if s}
     return out
 

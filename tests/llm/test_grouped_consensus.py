@@ -12,7 +12,7 @@ def test_names():
     assert entities("x\n\nVon Neris Clig und Corva Kak.") == {"a:clig", "a:kak"}
     for line in ("Source: Sopey Bulletin, vol. 5, no. 3.", "(From SOPEY BULLETIN 5, No. 3.)", "First printed in Sopey Bulletin 5(3).", "ที่มา Sopey Bulletin 5/3", "来源：Sopey Bulletin, vol. 5, no. 3。"):
         assert entities("x\n\n" + line) == {"s:sopey bulletin|5|3"}, line
-    assert entities("By Orvane Kestrelin.") == set() and entities("x\n\nBy the old bridge near town.") == set() and entities("") == set()
+    assert entities("By Orvane Kestrelin.") == {"a:kestrelin"} and entities("x\n\nBy the old bridge near town.") == set() and entities("") == set()
 
 
 def docs(spark):
@@ -112,3 +112,25 @@ def test_odd_annotations(spark):
     assert sorted((r.doc_id, r.acronym, r.expansion) for r in items.collect()) == [("d", "XY", "new one"), ("g", "P", "b")]  # annotator a is the more reliable
     empty, annotators, agreement = consensus(*annotation_labels(df.where("row_id < 0")))
     assert empty.count() == 0 and annotators.count() == 0 and agreement.count() == 1
+
+
+def test_author_lines_in_all_scripts_and_lengths():
+    from glossa.llm.grouped import entities
+
+    name = lambda line: entities("A text stands here.\n\n" + line)
+    assert name("作者：王小明") == {"a:王小明"} and name("بقلم: أحمد علي") == {"a:علي"}
+    assert name("लेखक: राम शर्मा") == name("लेखक: श्याम शर्मा") != name("लेखक: राम शरम") and name("ผู้เขียน: สมชาย ใจดี") == {"a:ใจดี"}
+    assert name("By Jane Roe, Ann Lee, Tom Fox") == {"a:roe", "a:lee", "a:fox"} and name("By Roe, J.") == {"a:roe"}
+    assert name("By Maria del Carmen de la Cruz") == {"a:cruz"} and name("By " + " and ".join(f"Ann Roe{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2)) == {f"a:roe{c}" for c in "abcdefghijklmnopqrstuvwxyz"}
+    assert name("By the old mill") == name("文章很好") == set() and entities("By Jane Roe") == {"a:roe"}
+
+
+def test_rounds_that_do_not_settle_are_an_error(spark):
+    import pytest
+
+    from glossa.llm.consensus import consensus
+
+    labels = spark.createDataFrame([(d, "AB", a, "x" if (d + a) % 3 else "y") for d in range(12) for a in range(4)], "doc_id int, acronym string, annotator int, label string")
+    with pytest.raises(RuntimeError):
+        consensus(labels, rounds=1)
+    assert consensus(labels)[0].count() == 12
