@@ -55,7 +55,7 @@ _SOURCE = regex.compile(
     r"([\p{L}][\p{L}\p{M} '’&.-]*?),?\s*(?:vol\.?\s*(\d+)\s*,\s*n[o°º]\.?\s*(\d+)|(\d+)\s*\(\s*(\d+)\s*\)|(\d+)\s*,\s*n[o°º]\.?\s*(\d+)|(\d+)\s*/\s*(\d+))\s*[.。।]?\s*[)）]?\s*",
     regex.I,
 )
-_MARKS = regex.compile(r"(?<=\p{L&})\p{M}+")  # accents, but not the vowel signs of scripts without case
+_MARKS = regex.compile(r"(?<=[\p{Lu}\p{Ll}\p{Lt}])\p{M}+")  # accents, but not the vowel signs of scripts without case
 
 
 def _fold(s: str) -> str:
