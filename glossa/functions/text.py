@@ -150,3 +150,75 @@ def detokenise(tokens: Column) -> Column:
 def normal_space(text: Column) -> Column:
     """Control characters and white space as single blanks (P-25)."""
     return F.trim(F.regexp_replace(text, r"[\s\p{Cc}]+", " "))
+
+
+# Abbreviations whose period ends no sentence.
+ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "St", "Fig", "Sec", "No", "vol", "vs", "al", "etc", "approx", "e\\.g", "i\\.e")
+
+
+def sentence_array(text: Column) -> Column:
+    """Sentences by their closing marks, in the JVM (P-17); null stays null, blank texts have none.
+
+    A mark ends a sentence before white space, in scripts without blanks
+    everywhere; the period of an abbreviation and of a number doesn't.
+    """
+    dot, cut = "\u2024", "\u241e"
+    t = F.regexp_replace(text, "(^|[^\\p{L}\\p{N}_])(" + "|".join(ABBREVIATIONS) + ")\\.", "$1$2" + dot)
+    t = F.regexp_replace(t, "([.!?][\"”»’)\\]]*)[ \\t\\r\\n]+", "$1" + cut)
+    t = F.regexp_replace(t, "([。！？।][\"”」』]*)", "$1" + cut)
+    parts = F.transform(F.split(t, cut), lambda s: F.trim(F.replace(s, F.lit(dot), F.lit("."))))
+    return F.filter(parts, lambda s: s != "")
+
+
+# The marks that cleaned words leave out.
+CLEANED_MARKS = r"""[,;:.!?\-"'&()\\/`\[\]\x{AD}<>%+=]"""
+
+
+def cleaned_words(text: Column, drop_numbers: bool = False) -> Column:
+    """Lower-case words without marks and function words, in order (P-09); ``functions.inflect.lancaster`` gives their stems."""
+    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
+    low = F.transform(F.split(F.regexp_replace(text, CLEANED_MARKS, " "), r"[ \t\r\n]+"), F.lower)
+    kept = F.filter(low, lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.filter(kept, lambda w: ~w.rlike(r"^\p{N}+$")) if drop_numbers else kept
+
+
+def lowered_words(text: Column, kept: Column | None = None) -> Column:
+    """Tokens in lower case without function words; those in the array ``kept`` stay as they are (P-12)."""
+    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
+    toks = F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")
+    if kept is None:
+        return F.filter(F.transform(toks, F.lower), lambda w: ~F.array_contains(stop, w))
+    own = lambda w: F.coalesce(F.array_contains(kept, w), F.lit(False))
+    return F.transform(F.filter(toks, lambda w: own(w) | ~F.array_contains(stop, F.lower(w))), lambda w: F.when(own(w), w).otherwise(F.lower(w)))
+
+
+def linked_text(text: Column, pairs: Column) -> Column:
+    """Each (acronym, expansion) replaced by the expansion's token; an acronym without expansion is deleted (P-13)."""
+    def step(t: Column, p: Column) -> Column:
+        token = F.coalesce(expansion_token(p["expansion"]), F.lit(""))
+        t = F.when(p["expansion"].isNull(), t).otherwise(substitute(t, F.coalesce(p["expansion"], F.lit("\u0000")), token))
+        return substitute(t, p["acronym"], token)
+
+    return F.aggregate(pairs, text, step)
+
+
+def without_substring(text: Column, part: Column) -> tuple[Column, Column]:
+    """(text without a substring, offsets in it of what was removed) (P-27); an empty substring removes nothing."""
+    pieces = F.when(F.length(part) > 0, F.split(text, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)).otherwise(F.array(text))
+    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.array_append(a, F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + F.length(p)))
+    return F.array_join(pieces, ""), F.slice(ends, 1, F.size(pieces) - 1)
+
+
+def flat_strings(value) -> list[str] | str:
+    """Values of nested lists and mappings as strings, in order (P-23)."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, dict):
+        value = value.values()
+    elif not hasattr(value, "__iter__"):
+        return str(value)
+    out: list[str] = []
+    for v in value:
+        flat = flat_strings(v)
+        out += [flat] if isinstance(flat, str) else flat
+    return out

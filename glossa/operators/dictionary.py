@@ -167,3 +167,26 @@ def corpus_statistics(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     a = articles.agg(F.count_distinct("article_id").alias("articles"))
     m = pairs.where("article_id is not null").groupBy("article_id").agg(F.count_distinct("acronym", "expansion").alias("k")).agg(F.round(F.avg("k"), 6).alias("expansions_per_article"))
     return a.crossJoin(p).crossJoin(m)  # one row each
+
+
+def rewritten_tests(tests: DataFrame, id_col: str, text_col: str = "text", pairs_col: str = "pairs") -> tuple[DataFrame, DataFrame]:
+    """(``id_col, text, pairs``, ids left out): expansion tokens of test texts back to acronyms (F-11).
+
+    ``pairs_col`` is an array of (acronym, expansion), applied in order. Only
+    pairs whose token stands in the text stay; a text without any is left out
+    and listed apart instead of failing the run.
+    """
+    from glossa.functions import text as X
+
+    def step(state, p):
+        text, n = X.restore_acronym(state["text"], p["expansion"], p["acronym"])
+        hit = (p["expansion"].isNotNull()) & (n > 0)
+        return F.struct(
+            F.when(hit, text).otherwise(state["text"]).alias("text"),
+            F.when(hit, F.array_append(state["pairs"], p)).otherwise(state["pairs"]).alias("pairs"),
+        )
+
+    kind = tests.schema[pairs_col].dataType.simpleString()
+    start = F.struct(F.col(text_col).alias("text"), F.array().cast(kind).alias("pairs"))
+    done = tests.where(F.col(text_col).isNotNull()).select(id_col, F.aggregate(pairs_col, start, step).alias("x")).select(id_col, "x.text", "x.pairs")
+    return done.where(F.size("pairs") > 0), done.where(F.size("pairs") == 0).select(id_col)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.runtime import sized_broadcast
+
 
 def cosine(a, b):
     """Cosine of two arrays of doubles; 0 if either is zero."""
@@ -76,7 +78,8 @@ def soft_vote(predictions: DataFrame, ids: list[str], option: str = "label", vot
 
 def weighted_vote(predictions: DataFrame, weights: DataFrame, ids: list[str], option: str = "label") -> DataFrame:
     """Weighted sum of confidences; ``weights`` has ``expander, w`` (C-15)."""
-    return predictions.join(F.broadcast(weights), "expander").groupBy(*ids, option).agg(F.round(F.sum(F.col("w") * F.col("confidence")), 6).alias("score"))
+    small, w = sized_broadcast(weights, 100_000)
+    return predictions.join(w, "expander").groupBy(*ids, option).agg(F.round(F.sum(F.col("w") * F.col("confidence")), 6).alias("score"))
 
 
 def trained_ensemble(predictions: DataFrame, truth: DataFrame, ids: list[str], option: str = "label", rounds: int = 100, seed: int = 0):
@@ -178,3 +181,22 @@ def by_priority(predictions: DataFrame, ids: list[str], order: list[str]) -> Dat
 def with_zeros(options: DataFrame, ids: list[str], candidates: DataFrame) -> DataFrame:
     """Confidences of all candidate options, 0 for those a model left out (U-07)."""
     return candidates.join(options, [*ids, "label"], "left").na.fill(0.0, ["confidence"])
+
+
+def ranked_options(predictions: DataFrame, ids: list[str], option: str = "label") -> DataFrame:
+    """``*ids, options``: every option with its greatest confidence, best first, ties by name (T-05)."""
+    best = predictions.groupBy(*ids, option).agg(F.max("confidence").alias("c"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("m"), F.col(option).alias("o"))))
+    return best.groupBy(*ids).agg(ranked.alias("x")).select(*ids, F.transform("x", lambda x: F.struct(x["o"].alias(option), (-x["m"]).alias("confidence"))).alias("options"))
+
+
+def context_vectors(train: DataFrame, weights: DataFrame, prefix: str | None = None) -> DataFrame:
+    """``acronym, expansion, term, weight``: term weights of an expansion's texts summed, within its acronym's terms (R-12, C-16).
+
+    ``train`` has ``id, acronym, expansion``, ``weights`` ``id, term, weight``;
+    with ``prefix`` only ids that begin with it count.
+    """
+    t = train.where(F.col("expansion").isNotNull())
+    if prefix is not None:
+        t = t.where(F.col("id").cast("string").startswith(prefix))
+    return t.select("id", "acronym", "expansion").distinct().join(weights, "id").groupBy("acronym", "expansion", "term").agg(F.sum("weight").alias("weight"))

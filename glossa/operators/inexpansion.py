@@ -294,3 +294,41 @@ def by_letters(text, acronym):
     words = F.array_join(F.transform(letters, lambda c: F.concat(F.lit(r"\b["), c, F.lower(c), F.lit(r"]\w*"))), r"[\s-]+")
     pattern = F.concat(F.lit("("), words, F.lit(r")\s*\(\Q"), acronym, F.lit(r"\E\)"))
     return F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(1)), F.lit(""))
+
+
+# Between the letters of an acronym (of words of several letters; of any words; of parts of words), and
+# what may stand between an expansion and the acronym.
+LETTER_GAPS = {"strict": r"\w{3,}[-\s](?:\w{2,5}[-\s]){0,1}", "short": r"\w{2,}[-\s](?:\w{2,5}[-\s]){0,1}", "loose": r"\w+[-\s]{0,1}(?:\w{2,5}[-\s]{0,1}){0,1}", "parts": r"\w*[-.\s]*"}
+BETWEEN = {
+    "or": r"(?=\sor\s{0,1}(?:the\s){0,1}(?:a\s){0,1}@\b)", "bracket": r"(?=[\"(\s,]{2,}(?:or\s){0,1}(?:the\s){0,1}[\"]{0,1}@\b)",
+    "dash": r"(?=[-\s]{2,}(?:of\s){0,1}@\b)", "after": r"(?<=\b@\s\W)",
+}
+LETTER_ORDERS = {"v1": (("strict", "loose"), ("or", "bracket", "after")), "v3": (("short", "loose"), ("or", "bracket", "dash", "after"))}
+
+
+def expansion_in_text(text, acronym, version: str = "v1"):
+    """The first text that spells an acronym beside one of its mentions, by patterns made of its letters (E-13).
+
+    "v1" and "v3" try stricter letters first and in each the places "X or ACR",
+    "X (ACR", for v3 "X - ACR", and "ACR (X"; "v2" takes parts of words, in any
+    case, before or after the acronym. Null if there is none or a field is null.
+    """
+    letters = F.filter(F.split(F.regexp_replace(acronym, r"[^\p{L}\p{N}]", ""), ""), lambda c: c != "")
+    quoted = F.concat(F.lit(r"\Q"), acronym, F.lit(r"\E"))
+    first = lambda pattern: F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(1)), F.lit(""))
+    either = lambda c: F.concat(F.lit("["), F.upper(c), F.lower(c), F.lit("]"))
+    if version == "v2":
+        spelled = F.concat(F.lit(r"\b"), F.array_join(F.transform(letters, either), LETTER_GAPS["parts"]), F.lit(r"\w*"))
+        near = F.lit(r"""[-,"'(\s\w]{0,10}""")
+        found = [first(F.concat(F.lit("(?im)("), spelled, F.lit(")"), near, quoted)), first(F.concat(F.lit("(?im)"), quoted, near, F.lit("("), spelled, F.lit(")")))]
+        found = [F.when(F.upper(f) != F.upper(acronym), f) for f in found]
+    else:
+        gaps, places = LETTER_ORDERS[version]
+        found = []
+        for gap in gaps:
+            spelled = F.concat(F.lit(r"(\b"), F.array_join(F.transform(letters, either), LETTER_GAPS[gap]), F.lit(r"\w+\b)"))
+            for place in places:
+                left, right = BETWEEN[place].split("@")
+                beside = F.concat(F.lit(left), quoted, F.lit(right))
+                found.append(first(F.concat(beside, spelled) if place == "after" else F.concat(spelled, beside)))
+    return F.when(F.size(letters) > 1, F.coalesce(*found))

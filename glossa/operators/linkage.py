@@ -61,10 +61,15 @@ def similar_pairs(expansions: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame) -> DataFrame:
-    """``acronym, expansion, canonical, component``: every distinct expansion with its component's canonical form (G-05, A-07, A-08)."""
+    """``acronym, expansion, canonical, component``: every distinct expansion with its component's canonical form (G-05, A-07, A-08).
+
+    Expansions are linked if they are similar, and if one article gives both for the acronym (J-03b).
+    The canonical form is the most frequent, of several the longest. Null article ids link nothing.
+    """
     node = lambda c: F.concat_ws("\u0001", "acronym", c)
     counts = pairs.groupBy("acronym", "expansion").agg(F.count("*").alias("n"))
-    links = similar_pairs(counts).select(node("a").alias("u"), node("b").alias("v"))
+    together = same_article_links(pairs.where("article_id is not null"))
+    links = similar_pairs(counts).unionByName(together).select(node("a").alias("u"), node("b").alias("v")).distinct()
     parts = connected_components(links, "u", "v")
     c = counts.withColumn("node", node("expansion")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     best = c.groupBy("component").agg(F.min_by("expansion", F.struct(-F.col("n"), -F.length("expansion"), "expansion")).alias("canonical"))

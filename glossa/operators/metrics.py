@@ -124,38 +124,70 @@ def by_module(evaluated: DataFrame) -> DataFrame:
     ).select(F.coalesce("module", F.lit("total")).alias("module"), F.coalesce("in_text", F.lit("any")).alias("in_text"), "gold", "predicted", "right")
 
 
-def paired_randomisation(scores: DataFrame, rounds: int = 1_000, seed: int = 0) -> DataFrame:
-    """``observed, p_value``: sign flips of the per-document differences ``a - b`` (G-07).
+def _resampled(scores: DataFrame, column, draws: int, seed: int, draw) -> DataFrame:
+    """``r, s, w``: for each of ``draws`` rounds the sums of drawn weight times value, and of the weights.
 
-    The rounds are a fixed number; every document meets each round once, and the
-    sums are taken where the documents are.
+    Every document draws its own weights from a generator seeded by its id, so
+    neither order nor partitions matter; a task sends one row a round.
     """
-    d = scores.select("doc_id", (F.col("a") - F.col("b")).cast("double").alias("d"))
-    flips = d.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    sign = F.when(F.pmod(F.xxhash64("doc_id", "round", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = flips.groupBy("round").agg(F.abs(F.sum(F.col("d") * sign)).alias("s"))
-    seen = d.agg(F.sum("d").alias("t"), F.avg("d").alias("observed"))
-    return sums.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.round(F.avg((F.col("s") >= F.abs("t") - 1e-9).cast("double")), 6).alias("p_value")).select(F.round("observed", 6).alias("observed"), "p_value")
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        total, weights, rows = np.zeros(draws), np.zeros(draws), 0
+        for pdf in batches:
+            for key, value in zip(pdf["k"], pdf["v"]):
+                w = draw(np.random.Generator(np.random.Philox(key=[key & (2**63 - 1), seed])), draws)
+                total += w * value
+                weights += w
+                rows += 1
+        if rows:
+            yield pd.DataFrame({"r": np.arange(draws), "s": total, "w": weights})
 
+    v = scores.select(F.xxhash64(F.col("doc_id")).alias("k"), column.cast("double").alias("v")).where("v is not null")
+    return v.mapInPandas(run, "r long, s double, w double").groupBy("r").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
 
-def bootstrap_interval(scores: DataFrame, resamples: int = 1_000, level: float = 0.9, seed: int = 0) -> DataFrame:
+
+def paired_randomisation(scores: DataFrame, rounds: int = 1_000, seed: int = 0) -> DataFrame:
+    """``observed, p_value``: sign flips of the per-document differences ``a - b`` (G-07)."""
+    diff = F.col("a") - F.col("b")
+    sums = _resampled(scores, diff, rounds, seed, lambda rng, n: rng.integers(0, 2, n) * 2.0 - 1.0)
+    seen = scores.agg(F.sum(diff.cast("double")).alias("t"), F.avg(diff.cast("double")).alias("observed"))
+    return sums.crossJoin(F.broadcast(seen)).groupBy("observed").agg(
+        F.round(F.avg((F.abs("s") >= F.abs("t") - 1e-9).cast("double")), 6).alias("p_value")
+    ).select(F.round("observed", 6).alias("observed"), "p_value")
+
+
+def bootstrap_interval(scores: DataFrame, resamples: int = 10_000, level: float = 0.9, seed: int = 0) -> DataFrame:
     """``mean, low, high`` by Poisson resampling of documents (G-08)."""
-    s = scores.select("doc_id", F.col("a").cast("double").alias("a")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = (F.pmod(F.xxhash64("doc_id", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cumulative, weight, p = 0.0, F.lit(7), 1.0
-    import math
-
-    bounds = []
-    for k in range(7):
-        cumulative += math.exp(-1) / math.factorial(k)
-        bounds.append((k, cumulative))
-    for k, b in reversed(bounds):
-        weight = F.when(u < b, k).otherwise(weight)
-    m = s.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("m"))
+    m = _resampled(scores, F.col("a"), resamples, seed, lambda rng, n: rng.poisson(1.0, n)).where("w > 0").select((F.col("s") / F.col("w")).alias("m"))
     q = m.agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
     return q.crossJoin(scores.agg(F.avg(F.col("a").cast("double")).alias("mean"))).select(F.round("mean", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
+def document_scores(results: DataFrame, doc: str = "doc_id", success: str = "success") -> DataFrame:
+    """``doc_id, right, total`` of a table of results, wherever a document's rows stand (G-09, W-02); null outcomes are not right."""
+    return results.groupBy(F.col(doc).alias("doc_id")).agg(
+        F.sum(F.coalesce(F.col(success).cast("boolean"), F.lit(False)).cast("long")).alias("right"), F.count("*").alias("total")
+    )
+
+
+def extraction_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``doc_id, tp, fp, fn`` over distinct ``doc_id, acronym, expansion`` (G-09)."""
+    k = ["doc_id", "acronym", "expansion"]
+    g, p = gold.select(*k).distinct().withColumn("g", F.lit(1)), predicted.select(*k).distinct().withColumn("p", F.lit(1))
+    both = g.join(p, k, "full")
+    n = lambda c: F.sum(c.cast("long"))
+    return both.groupBy("doc_id").agg(
+        n(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), n(F.col("g").isNull()).alias("fp"), n(F.col("p").isNull()).alias("fn")
+    )
+
+
+def shared_spans(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """The spans (all columns) that both have, once each (U-05)."""
+    return predicted.select(*gold.columns).intersect(gold)
+
+
 def execution_times(reports: DataFrame) -> DataFrame:
     """``fold, reports, skipped, total_time, mean_time`` (A-24)."""
     return reports.groupBy("fold").agg(

@@ -70,12 +70,13 @@ def locality(docs: DataFrame, id_col: str, text_col: str, concept: str, sentence
 
 
 def window_terms(docs: DataFrame, id_col: str, tokens, concept: str, size: int) -> DataFrame:
-    """``id_col, term, n``: tokens within ``size`` places of an occurrence of the concept (W-05, R-08)."""
-    at = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i) == F.lit(concept))
-    d = docs.select(F.col(id_col), tokens.alias("_t")).where(F.array_contains("_t", concept))
+    """``id_col, term, n``: tokens within ``size`` places of an occurrence of the concept, a word or a column of words (W-05, R-08)."""
+    name = F.col(concept) if concept in docs.columns else F.lit(concept)
+    at = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i) == F.col("_c"))
+    d = docs.select(F.col(id_col), tokens.alias("_t"), name.alias("_c")).where(F.array_contains(F.col("_t"), F.col("_c")))
     near = F.filter(
         F.transform(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.struct(i.alias("i"), F.get("_t", i).alias("term"))),
-        lambda x: (x["term"] != F.lit(concept)) & F.exists(F.col("_at"), lambda p: F.abs(p - x["i"]) <= size),
+        lambda x: (x["term"] != F.col("_c")) & F.exists(F.col("_at"), lambda p: F.abs(p - x["i"]) <= size),
     )
     return d.withColumn("_at", at).select(id_col, F.explode(F.transform(near, lambda x: x["term"])).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
 

@@ -210,7 +210,9 @@ def acronym_candidates(spark, d):
 
 @query()
 def acronym_embedded(spark, d):
-    return A.exploded(_docs(spark, d), "doc_id", A.embedded(F.col("text")))
+    """Labels and values of the scraped definitions joined by a hyphen, as they stand in headings."""
+    t = table(spark, d, "scraped_definitions").select("def_id", F.concat_ws("-", "acronym", F.upper("acronym_expansion")).alias("text"))
+    return A.exploded(t, "def_id", A.embedded(F.col("text")))
 
 
 # ---- text functions
@@ -314,10 +316,21 @@ def plain_documents(spark, d):
     return p.select("doc_id", F.length("text").cast("long").alias("chars"), F.size("links").alias("links"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL AND NOT contains(text, '&')")
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+
+
+def _decoded(c: str) -> str:
+    for entity, char in _ENTITIES:
+        c = f"replace({c}, '{entity}', '{char}')"
+    return c
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_decoded("regexp_replace(text, '<[^>]*>', ' ', 'g')")}, '[ \\t\\n\\r]+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL")
 def untagged_documents(spark, d):
-    t = table(spark, d, "documents").where("text is not null and not contains(text, '&')")
-    return t.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "<[^>]*>", " "), r"[ \t\n\r]+", " ")).alias("plain"))
+    plain = F.regexp_replace("text", "<[^>]*>", " ")
+    for entity, char in _ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.trim(F.regexp_replace(plain, r"[ \t\n\r]+", " ")).alias("plain"))
 
 
 # ---- dictionary
@@ -461,7 +474,7 @@ def corpus_sentence_stats(spark, d):
 
 # ---- linkage
 
-_EDGES = f"{_PAIRS}, e AS (SELECT DISTINCT acronym, expansion FROM pairs), sim AS (SELECT a.acronym, a.expansion AS a, b.expansion AS b FROM e a JOIN e b ON a.acronym = b.acronym AND a.expansion <> b.expansion WHERE {_fuzzy('a.expansion', 'b.expansion')})"
+_EDGES = f"{_PAIRS}, e AS (SELECT DISTINCT acronym, expansion FROM pairs), sim AS (SELECT a.acronym, a.expansion AS a, b.expansion AS b FROM e a JOIN e b ON a.acronym = b.acronym AND a.expansion <> b.expansion WHERE {_fuzzy('a.expansion', 'b.expansion')} UNION SELECT DISTINCT a.acronym, a.expansion, b.expansion FROM pairs a JOIN pairs b ON a.acronym = b.acronym AND a.article_id = b.article_id AND a.expansion <> b.expansion)"
 _COMPONENTS = (
     f"WITH RECURSIVE {_EDGES}, reach(acronym, expansion, root) AS (SELECT acronym, expansion, expansion FROM e UNION SELECT s.acronym, s.b, r.root FROM reach r JOIN sim s ON s.acronym = r.acronym AND s.a = r.expansion), "
     "comp AS (SELECT acronym, expansion, min(root) AS component FROM reach GROUP BY 1, 2), n AS (SELECT acronym, expansion, count(*) AS n FROM pairs GROUP BY 1, 2), "
@@ -529,14 +542,12 @@ def locality_weights(spark, d):
 
 
 @query(
-    "WITH hot AS (SELECT acronym_ AS a FROM sci_dr GROUP BY 1 ORDER BY count(*) DESC, 1 NULLS FIRST LIMIT 1), w AS (SELECT sample_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM sci_dr), "
-    "p AS (SELECT sample_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM w), c AS (SELECT sample_id, i FROM p, hot WHERE term = a) "
-    "SELECT p.sample_id, p.term, count(DISTINCT p.i) AS n FROM p JOIN c ON p.sample_id = c.sample_id AND abs(p.i - c.i) <= 5, hot WHERE p.term <> a GROUP BY 1, 2"
+    "WITH w AS (SELECT sample_id, acronym_ AS a, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM sci_dr), "
+    "p AS (SELECT sample_id, a, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM w), c AS (SELECT sample_id, i FROM p WHERE term = a) "
+    "SELECT p.sample_id, p.term, count(DISTINCT p.i) AS n FROM p JOIN c ON p.sample_id = c.sample_id AND abs(p.i - c.i) <= 5 WHERE p.term <> a GROUP BY 1, 2"
 )
 def window_terms(spark, d):
-    t = table(spark, d, "sci_dr")
-    hot = t.groupBy("acronym_").count().orderBy(F.desc("count"), "acronym_").first()
-    return V.window_terms(t, "sample_id", X.words(F.col("text")), hot[0] if hot and hot[0] else "", 5)
+    return V.window_terms(table(spark, d, "sci_dr"), "sample_id", X.words(F.col("text")), "acronym_", 5)
 
 
 _SCI_TF = (
@@ -650,7 +661,10 @@ def hard_vote(spark, d):
 
 
 def _votes(spark, d):
-    train, test = _train_test(spark, d)
+    return _votes_of(*_train_test(spark, d))
+
+
+def _votes_of(train, test):
     counts = train.groupBy("acronym", "expansion").agg(F.count("*").alias("n"))
     total = counts.groupBy("acronym").agg(F.sum("n").alias("t"))
     o = test.select("article_id", "acronym").distinct().join(counts, "acronym").join(total, "acronym")
@@ -683,12 +697,16 @@ def gap_sweep(spark, d):
 
 @query()
 def trained_ensemble(spark, d):
+    """Fitted on one half of the training articles, whose votes come from the other half's dictionary; applied to the test articles."""
     from pyspark.ml.functions import vector_to_array
 
-    v, truth = _votes(spark, d), _vote_truth(spark, d)
+    train, _ = _train_test(spark, d)
+    train = train.where("article_id is not null").withColumn("half", F.pmod(F.xxhash64("article_id"), F.lit(2)))
+    own, other = train.where("half = 0"), train.where("half = 1")
     ids = ["article_id", "acronym"]
-    model, names = E.trained_ensemble(v, truth, ids, rounds=20)
-    wide = v.groupBy(*ids, "label").pivot("expander", names).agg(F.max("confidence")).na.fill(0.0, names)
+    truth = own.groupBy(*ids).agg(F.min("expansion").alias("label"))
+    model, names = E.trained_ensemble(_votes_of(other, own), truth, ids)
+    wide = _votes(spark, d).groupBy(*ids, "label").pivot("expander", names).agg(F.max("confidence")).na.fill(0.0, names)
     p = model.transform(wide).select(*ids, "label", vector_to_array("probability")[1].alias("confidence"))
     return E.top_option(p, ids)
 
@@ -735,15 +753,15 @@ def keyword_overlap(spark, d):
 
 
 @query(
-    "WITH v AS (SELECT vec_id, label, vec_id // 10 AS doc, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE doc % 5 <> 0), "
-    "m AS (SELECT label, array_agg(x ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2) GROUP BY 1), c AS (SELECT v.doc, m.label, sum(list_cosine_similarity(v.e, m.e)) / count(*) AS c FROM v, m WHERE v.doc % 5 = 0 GROUP BY 1, 2) "
+    "WITH v AS (SELECT vec_id, label, vec_id // 10 AS doc, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE doc % 50 <> 0), "
+    "m AS (SELECT label, array_agg(x ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2) GROUP BY 1), c AS (SELECT v.doc, m.label, sum(list_cosine_similarity(v.e, m.e)) / count(*) AS c FROM v, m WHERE v.doc % 50 = 0 GROUP BY 1, 2) "
     "SELECT doc, label, round(c, 6) AS confidence FROM c"
 )
 def uad_vote(spark, d):
     """Every ten vectors are the chunks of a document; options are the mean vectors of the labels (at most ten)."""
     e = table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("doc"), "label", F.col("embedding").cast("array<double>").alias("vec"), F.lit(1).alias("k"))
-    options = V.mean_vectors(e.where("doc % 5 <> 0"), "label", "vec").select("label", F.col("mean").alias("vec"), F.lit(1).alias("k"))
-    return E.chunk_vote(e.where("doc % 5 = 0").select("doc", "k", "vec"), F.broadcast(options), "doc", ["k"])
+    options = V.mean_vectors(e.where("doc % 50 <> 0"), "label", "vec").select("label", F.col("mean").alias("vec"), F.lit(1).alias("k"))
+    return E.chunk_vote(e.where("doc % 50 = 0").select("doc", "k", "vec"), F.broadcast(options), "doc", ["k"])
 
 
 @query()
@@ -808,7 +826,7 @@ def concatenated_vectors(spark, d):
 def replaced_nearly(spark, d):
     from glossa.functions.inflect import replaced_nearly as near
 
-    t = table(spark, d, "sci_dr").where("text is not null and expansion is not null and lang = 'en'")
+    t = table(spark, d, "sci_dr").where("text is not null and expansion is not null")
     return t.select("sample_id", near(F.col("text"), F.col("expansion"), X.expansion_token(F.col("expansion"))).alias("text")).where("text is not null")
 
 
@@ -940,17 +958,21 @@ def agreement_kappa(spark, d):
 
 @query(
     f"WITH {_LABELS}, r AS (SELECT doc_id, annotator, row_number() OVER (PARTITION BY doc_id ORDER BY annotator) AS k FROM (SELECT DISTINCT doc_id, annotator FROM labels)), "
-    "s AS (SELECT doc_id, k, array_agg(acronym || '=' || label) AS x FROM labels JOIN r USING (doc_id, annotator) WHERE k <= 2 GROUP BY 1, 2), "
-    "t AS (SELECT a.doc_id AS item, a.x AS a, coalesce(b.x, []) AS b FROM (SELECT * FROM s WHERE k = 1) a LEFT JOIN (SELECT * FROM s WHERE k = 2) b ON a.doc_id = b.doc_id) "
-    "SELECT item, array_to_string(list_sort(list_filter(a, lambda v: list_contains(b, v))), ';') AS both, array_to_string(list_sort(list_filter(a, lambda v: NOT list_contains(b, v))), ';') AS only_a, "
+    "s AS (SELECT doc_id, annotator, k, array_agg(acronym || '=' || label) AS x FROM labels JOIN r USING (doc_id, annotator) GROUP BY 1, 2, 3), "
+    "t AS (SELECT a.doc_id AS item, a.annotator AS first, b.annotator AS second, a.x AS a, coalesce(b.x, []) AS b FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.k = 1 OR b.k IS NOT NULL) "
+    "SELECT item, first, second, array_to_string(list_sort(list_filter(a, lambda v: list_contains(b, v))), ';') AS both, array_to_string(list_sort(list_filter(a, lambda v: NOT list_contains(b, v))), ';') AS only_a, "
     "array_to_string(list_sort(list_filter(b, lambda v: NOT list_contains(a, v))), ';') AS only_b FROM t"
 )
 def annotator_set_ops(spark, d):
-    l = _last_labels(spark, d)
-    per = l.groupBy("doc_id", "annotator").agg(F.collect_list(F.concat_ws("=", "acronym", "label")).alias("x"))
-    two = per.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "x"))).alias("s"))
-    t = two.select(F.col("doc_id").alias("item"), F.get("s", F.lit(0))["x"].alias("a"), F.get("s", F.lit(1))["x"].alias("b"))
-    return G.set_differences(t).select("item", *(F.array_join(c, ";").alias(c) for c in ("both", "only_a", "only_b")))
+    """Every annotator of a document against the next one by name; a document's single annotator against nobody."""
+    from pyspark.sql import Window
+
+    per = _last_labels(spark, d).groupBy("doc_id", "annotator").agg(F.collect_list(F.concat_ws("=", "acronym", "label")).alias("a"))
+    w = Window.partitionBy("doc_id").orderBy("annotator")  # at most as many rows as there are annotators
+    t = per.select(F.col("doc_id").alias("item"), F.col("annotator").alias("first"), F.lead("annotator").over(w).alias("second"), "a", F.lead("a").over(w).alias("b"), F.row_number().over(w).alias("k"))
+    t = t.where("k = 1 or second is not null")
+    sets = G.set_differences(t.withColumn("item", F.struct("item", "first", "second")))
+    return sets.select("item.*", *(F.array_join(c, ";").alias(c) for c in ("both", "only_a", "only_b")))
 
 
 @query(
@@ -1054,7 +1076,7 @@ def bio_forms(spark, d):
     """Brackets in the texts as tags: the bracketed token is a short form, the words its initials spell a long form."""
     from glossa.operators import bio
 
-    t = table(spark, d, "sci_dr").where("lang = 'en'").select("sample_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[()]"), F.lit(0))).alias("pos", "token"))
+    t = table(spark, d, "sci_dr").select("sample_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[()]"), F.lit(0))).alias("pos", "token"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("sample_id").orderBy("pos")
@@ -1102,3 +1124,125 @@ def streamed_expansion(spark, d):
     q = expanded(document_stream(spark, source, schema), best).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("doc_id long, acronym string, expansion string, confidence double").parquet(out)
+
+
+# ---- operators on sentences, cleaned words, rewritten tests, result files
+
+_SENTENCES = (
+    "list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}_])(" + "|".join(X.ABBREVIATIONS) + ")\\.', '\\1\\2\u2024', 'g'), "
+    "'([.!?][\"”»’)\\]]*)[ \\t\\r\\n]+', '\\1\u241e', 'g'), '([。！？।][\"”」』]*)', '\\1\u241e', 'g'), '\u241e'), lambda s: trim(replace(s, '\u2024', '.'))), lambda s: s <> '')"
+)
+
+
+@query(f"SELECT doc_id, len({_SENTENCES}) AS sentences, coalesce(list_max(list_transform({_SENTENCES}, lambda s: length(s))), 0) AS longest FROM documents WHERE text IS NOT NULL")
+def sentence_counts(spark, d):
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", X.sentence_array(F.col("text")).alias("s"))
+    return t.select("doc_id", F.size("s").cast("long").alias("sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
+
+
+_CLEANED = f"string_split_regex(regexp_replace(text, '{X.CLEANED_MARKS.replace(chr(39), chr(39) * 2)}', ' ', 'g'), '[ \\t\\r\\n]+')"
+
+
+@query(f"SELECT sample_id, w AS word, count(*) AS n FROM (SELECT sample_id, unnest(list_transform({_CLEANED}, lambda w: lower(w))) AS w FROM sci_dr) WHERE w <> '' AND w NOT IN ({_STOP}) AND NOT regexp_full_match(w, '\\p{{N}}+') GROUP BY 1, 2")
+def cleaned_words(spark, d):
+    w = X.cleaned_words(F.col("text"), True)
+    return table(spark, d, "sci_dr").select("sample_id", F.explode(w).alias("word")).groupBy("sample_id", "word").agg(F.count("*").alias("n"))
+
+
+@query()
+def cleaned_stems(spark, d):
+    from glossa.functions.inflect import lancaster
+
+    t = table(spark, d, "sci_dr").where("text is not null").select("sample_id", lancaster(X.cleaned_words(F.col("text"))).alias("s"))
+    return t.select("sample_id", F.explode("s").alias("stem")).groupBy("sample_id", "stem").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT sample_id, lower(w) AS word, count(*) AS n FROM (SELECT sample_id, unnest(string_split_regex(text, '[ \\t\\r\\n]+')) AS w FROM sci_dr) WHERE w <> '' AND lower(w) NOT IN ({_STOP}) GROUP BY 1, 2")
+def lowered_words(spark, d):
+    return table(spark, d, "sci_dr").select("sample_id", F.explode(X.lowered_words(F.col("text"))).alias("word")).groupBy("sample_id", "word").agg(F.count("*").alias("n"))
+
+
+@query()
+def linked_text(spark, d):
+    """Acronyms with an expansion become its token, those without are deleted."""
+    t = table(spark, d, "sci_dr").where("text is not null and acronym_ is not null")
+    return t.select("sample_id", X.linked_text(F.col("text"), F.array(F.struct(F.col("acronym_").alias("acronym"), "expansion"))).alias("text"))
+
+
+@query(
+    "WITH t AS (SELECT sample_id, string_split(text, acronym_) AS p FROM sci_dr WHERE text IS NOT NULL AND acronym_ <> '') "
+    "SELECT sample_id, array_to_string(p, '') AS text, array_to_string(list_transform(range(1, len(p)), lambda i: length(array_to_string(p[1:i], ''))), ',') AS offsets FROM t"
+)
+def removed_substrings(spark, d):
+    t = table(spark, d, "sci_dr").where("text is not null and acronym_ <> ''")
+    text, at = X.without_substring(F.col("text"), F.col("acronym_"))
+    return t.select("sample_id", text.alias("text"), F.array_join(F.transform(at, lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+@query()
+def test_rewrite(spark, d):
+    pair = F.array(F.struct(F.col("acronym_").alias("acronym"), "expansion"))
+    t = table(spark, d, "sci_dr").where("text is not null and acronym_ is not null and expansion is not null")
+    t = t.select("sample_id", X.substitute_pairs(F.col("text"), pair).alias("text"), pair.alias("pairs"))
+    kept, _ = D.rewritten_tests(t, "sample_id")
+    return kept.select("sample_id", "text", F.size("pairs").cast("long").alias("pairs"))
+
+
+@query(f"WITH {_EVAL} SELECT article_id AS doc_id, CAST(sum(success::INT) AS BIGINT) AS \"right\", count(*) AS total FROM evaluated GROUP BY 1")
+def document_scores(spark, d):
+    return M.document_scores(_evaluated(spark, d), "article_id")
+
+
+@query(
+    f"WITH {_LABELS}, {_GOLDL}, g AS (SELECT DISTINCT doc_id, acronym, gold AS expansion FROM act), p AS (SELECT DISTINCT doc_id, acronym, label AS expansion FROM labels), "
+    "j AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.doc_id IS NOT NULL AS a, p.doc_id IS NOT NULL AS b FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.acronym = p.acronym AND g.expansion = p.expansion) "
+    "SELECT doc_id, count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a) AS fp, count(*) FILTER (NOT b) AS fn FROM j GROUP BY 1"
+)
+def extraction_scores(spark, d):
+    return M.extraction_scores(_reviewed(spark, d).withColumnRenamed("gold", "expansion"), _last_labels(spark, d).withColumnRenamed("label", "expansion"))
+
+
+@query(f"WITH {_LABELS}, {_GOLDL} SELECT doc_id, acronym, gold AS expansion FROM act INTERSECT SELECT doc_id, acronym, label FROM labels")
+def shared_labels(spark, d):
+    gold = _reviewed(spark, d).select("doc_id", "acronym", F.col("gold").alias("expansion"))
+    return M.shared_spans(_last_labels(spark, d).withColumnRenamed("label", "expansion"), gold)
+
+
+@query(
+    f"WITH {_VOTES}, b AS (SELECT article_id, acronym, label, max(confidence) AS c FROM p GROUP BY 1, 2, 3) "
+    "SELECT article_id, acronym, array_to_string(list(label ORDER BY c DESC, label), ';') AS ranked, count(*) AS options FROM b GROUP BY 1, 2"
+)
+def ranked_options(spark, d):
+    r = E.ranked_options(_votes(spark, d), ["article_id", "acronym"])
+    return r.select("article_id", "acronym", F.array_join(F.transform("options", lambda o: o["label"]), ";").alias("ranked"), F.size("options").cast("long").alias("options"))
+
+
+@query(f"WITH {_PAIRS}, {_MF.format(src='pairs')}, a AS ({_upper_sql('[A-Z]{2,8}s?')}) SELECT doc_id, a.acronym, mf.expansion FROM a JOIN mf ON a.acronym = mf.acronym ORDER BY 1, 2")
+def sorted_expansions(spark, d):
+    from glossa.plans.pipeline import sorted_output
+
+    w = F.filter(X.words(F.col("text")), lambda x: x.rlike("^[A-Z]{2,8}s?$"))
+    a = A.exploded(_docs(spark, d), "doc_id", F.array_distinct(F.transform(w, F.upper)))
+    return sorted_output(a.join(D.most_frequent(_pairs(spark, d)), "acronym").select("doc_id", "acronym", "expansion"), "doc_id")
+
+
+@query(_COS_SQL + "x AS (SELECT 1) SELECT acronym, expansion, term, sum(weight) AS weight FROM tr JOIN tf USING (sample_id) GROUP BY 1, 2, 3")
+def context_vectors(spark, d):
+    t, tf = _sci(spark, d)
+    train = D.in_articles(t.where("expansion is not null"), _roles(spark, d, "train"))
+    return E.context_vectors(train.withColumnRenamed("sample_id", "id"), tf.withColumnRenamed("sample_id", "id"))
+
+
+def _in_text(version):
+    def run(spark, d):
+        from glossa.operators.inexpansion import expansion_in_text
+
+        t = table(spark, d, "sci_dr").where("acronym_ is not null and text is not null")
+        return t.select("sample_id", expansion_in_text(F.col("text"), F.col("acronym_"), version).alias("expansion")).where("expansion is not null")
+
+    run.__name__ = f"expansion_in_text_{version}"
+    return run
+
+
+for _version in ("v1", "v2", "v3"):
+    query()(_in_text(_version))

@@ -43,3 +43,8 @@ def corpus(docs: DataFrame, id_col: str, text_col: str, rules: tuple[str, ...] =
     articles = d.select(id_col, "raw_text", F.array_join(X.content_words(F.col("text")), " ").alias("text"))
     roles = D.hashed_fold(articles, 10, id_col).select(id_col, F.when(F.col("fold") < 7, "train").otherwise("test").alias("role"), (F.col("fold") % 5).alias("fold"))
     return articles, pairs.join(articles.select(id_col), id_col, "left_semi"), roles
+
+
+def sorted_output(expansions: DataFrame, id_col: str) -> DataFrame:
+    """The rows by document and acronym, for output (T-06); the only place where rows are put in order."""
+    return expansions.orderBy(id_col, "acronym")

@@ -58,7 +58,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local folder is set.
+    Only where the session names none and runs on this machine alone (tests, a
+    laptop) a local folder is set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -67,6 +68,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="glossa-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -86,23 +89,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     For results that are read by several later stages and are wide enough for
-    columnar compression and column pruning to matter.
+    columnar compression and column pruning to matter. The folders of a session
+    are removed when the driver's process ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"glossa-{name}-{uuid.uuid4().hex}")
+    _remove_at_end(spark, path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """Let the file system that holds ``path`` delete it when the JVM ends."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def _splits(df: DataFrame) -> int | None:
+    """How many splits a plain scan of files has; None for any other plan."""
+    plan = df._jdf.queryExecution().sparkPlan()
+    while plan.children().size() == 1:
+        if any(x in plan.nodeName() for x in ("Exchange", "Aggregate", "Sort", "Window", "Limit", "Repartition")):
+            return None
+        plan = plan.children().head()
+    return df._jdf.queryExecution().toRdd().getNumPartitions() if plan.nodeName().startswith("Scan") else None
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Repartition a scan that came as fewer splits than the cluster has cores.
 
-    A no-op on large inputs, whose scan already has many splits; a single small
-    file would otherwise keep one core busy with all of a Python stage.
+    A no-op on large inputs, whose scan already has many splits, and on plans
+    that shuffle, whose partitions adaptive execution sizes; a single small file
+    would otherwise keep one core busy with all of a Python stage.
     """
     ship(df.sparkSession)
     n = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    splits = _splits(df)
+    return df.repartition(n) if splits is not None and splits < n else df
 
 
 def sized_broadcast(df: DataFrame, limit_rows: int) -> tuple[bool, DataFrame]:
