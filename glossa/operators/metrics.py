@@ -172,7 +172,7 @@ def document_scores(results: DataFrame, doc: str = "doc_id", success: str = "suc
     )
 
 
-def extraction_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+def document_extraction_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """``doc_id, tp, fp, fn`` over distinct ``doc_id, acronym, expansion`` (G-09)."""
     k = ["doc_id", "acronym", "expansion"]
     g, p = gold.select(*k).distinct().withColumn("g", F.lit(1)), predicted.select(*k).distinct().withColumn("p", F.lit(1))

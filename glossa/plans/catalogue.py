@@ -1198,8 +1198,8 @@ def document_scores(spark, d):
     "j AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.doc_id IS NOT NULL AS a, p.doc_id IS NOT NULL AS b FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.acronym = p.acronym AND g.expansion = p.expansion) "
     "SELECT doc_id, count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a) AS fp, count(*) FILTER (NOT b) AS fn FROM j GROUP BY 1"
 )
-def extraction_scores(spark, d):
-    return M.extraction_scores(_reviewed(spark, d).withColumnRenamed("gold", "expansion"), _last_labels(spark, d).withColumnRenamed("label", "expansion"))
+def document_extraction_scores(spark, d):
+    return M.document_extraction_scores(_reviewed(spark, d).withColumnRenamed("gold", "expansion"), _last_labels(spark, d).withColumnRenamed("label", "expansion"))
 
 
 @query(f"WITH {_LABELS}, {_GOLDL} SELECT doc_id, acronym, gold AS expansion FROM act INTERSECT SELECT doc_id, acronym, label FROM labels")

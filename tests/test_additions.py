@@ -81,7 +81,7 @@ def test_scores_of_result_rows(spark):
     assert {tuple(x) for x in M.document_scores(r).collect()} == {("a", 2, 3), ("b", 0, 1)}
     g = spark.createDataFrame([("a", "AB", "x"), ("a", "CD", "y"), ("a", "AB", "x")], "doc_id string, acronym string, expansion string")
     p = spark.createDataFrame([("a", "AB", "x"), ("b", "AB", "z")], "doc_id string, acronym string, expansion string")
-    assert {tuple(x) for x in M.extraction_scores(g, p).collect()} == {("a", 1, 0, 1), ("b", 0, 1, 0)}
+    assert {tuple(x) for x in M.document_extraction_scores(g, p).collect()} == {("a", 1, 0, 1), ("b", 0, 1, 0)}
     assert [tuple(x) for x in M.shared_spans(p, g).collect()] == [("a", "AB", "x")]
 
 
