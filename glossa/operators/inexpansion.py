@@ -205,7 +205,12 @@ _OR = regex.compile(r"([\p{L}][\p{L} -]+),\s+or\s+([\p{Lu}\p{N}]{2,10}),")
 
 def template(text: str) -> dict[str, str]:
     """Phrases that name the expansion: "X, which stands for Y", "Y, or X," (E-08e)."""
-    out = {m.group(1): m.group(2).strip() for m in _STANDS.finditer(text)}
+    out = {}
+    for m in _STANDS.finditer(text):
+        words, want = m.group(2).split(), "".join(c for c in m.group(1) if c.isalpha()).lower()
+        # Words whose initials spell the acronym end the expansion; else it goes to the next mark.
+        spelled = next((n for n in range(len(want), len(words)) if _initials(words[:n], True) == want or _initials(words[:n], False) == want), len(words))
+        out[m.group(1)] = " ".join(words[:spelled])
     for m in _OR.finditer(text):
         found = select_before(m.group(2), m.group(1))
         if found:
@@ -251,13 +256,155 @@ def _plain(c: str) -> str:
     return unicodedata.normalize("NFD", c.lower())[0]
 
 
+# Small words that don't count among the initials of an expansion.
+SMALL_WORDS = frozenset("a an and at by da de del des di du et for from in la las le les los of on or the to und von with y".split())
+
+
+def short_forms(toks: list[str], share: float = 0.6, lower_first: bool = True, dots: bool = True) -> list[int]:
+    """Places of the tokens of two to ten characters of which more than ``share`` are capitals."""
+    out = []
+    for i, t in enumerate(toks):
+        bare = t.replace(".", "") if dots else t
+        first = bare[:1].isupper() or lower_first and bare[:1].islower() or bare[:1].isdigit()
+        if 2 <= len(bare) <= 10 and first and sum(c.isupper() for c in bare) > share * len(bare):
+            out.append(i)
+    return out
+
+
+def _initials(words: list[str], small: bool) -> str:
+    return "".join(w[0] for w in words if w[0].isalnum() and (small or w.lower() not in SMALL_WORDS)).lower()
+
+
+def high_recall(text: str) -> dict[str, str]:
+    """Short forms anywhere, without brackets: the nearest words on the left, else on the right, whose initials or capitals spell them (E-08b)."""
+    toks = _WORD.findall(text)
+    out: dict[str, str] = {}
+    for i in short_forms(toks):
+        want, reach = toks[i].replace(".", "").lower(), min(len(toks[i]) + 5, 2 * len(toks[i]))
+        left, right = toks[max(0, i - reach - 1) : i], toks[i + 1 : i + 2 + reach]
+        runs = [left[a:] for a in range(len(left) - 1, -1, -1)] + [right[b : c + 1] for c in range(len(right)) for b in range(c + 1)]
+        for run in runs:
+            while run and (not run[-1][0].isalnum() or run[-1].lower() in SMALL_WORDS):
+                run = run[:-1]
+            if not run or not run[0][0].isalnum() or not all(w[0].isalnum() for w in run) or run[0].lower() in SMALL_WORDS:
+                continue
+            capitals = "".join(w[0] for w in run if w[0].isupper()).lower()
+            if len(run) > 1 and toks[i] not in run and want in (capitals, _initials(run, False)):
+                out.setdefault(toks[i], " ".join(run))
+                break
+    return out
+
+
+def high_recall_character(text: str) -> dict[str, str]:
+    """Capitals of a short form against initials around it, small words passed over (E-08c); only for acronyms nothing else explains."""
+    toks = _WORD.findall(text)
+    out: dict[str, str] = {}
+    for i in short_forms(toks):
+        want = "".join(c for c in toks[i] if c.isupper()).lower()
+        reach = min(len(want) + 5, 3 * len(want))
+        for window in (toks[max(0, i - reach - 1) : i], toks[i + 1 : i + 2 + reach]):
+            words = [w for w in window if w[0].isalnum()]
+            for a in range(len(words)):
+                for b in range(a + 2, len(words) + 1):
+                    run = words[a:b]
+                    ends = run[0].lower() not in SMALL_WORDS and run[-1].lower() not in SMALL_WORDS
+                    if ends and toks[i] not in run and len(want) > 1 and _initials(run, False) == want:
+                        out.setdefault(toks[i], " ".join(run))
+    return out
+
+
+def hyphenated(text: str) -> dict[str, str]:
+    """Capitals joined by hyphens as one short form, spelled by the bracket beside it or that it stands in."""
+    out: dict[str, str] = {}
+    for acronym, beside, before in places(text):
+        if regex.fullmatch(r"[\p{Lu}\p{N}]+(?:-[\p{Lu}\p{N}]+)+", acronym):
+            found = (select_before if before else select_after)(acronym.replace("-", ""), beside)
+            if found:
+                out[acronym] = found
+    return out
+
+
 RULES = {
-    "schwartz_hearst": schwartz_hearst, "bounded": bounded, "character_match": character_match, "initial_capitals": initial_capitals,
-    "template": template, "french": french, "spanish": spanish,
+    "schwartz_hearst": schwartz_hearst, "bounded": bounded, "high_recall": high_recall, "character_match": character_match,
+    "high_recall_character": high_recall_character, "initial_capitals": initial_capitals, "template": template, "hyphenated": hyphenated,
+    "french": french, "spanish": spanish,
 }
 #: The cascade: a later rule overrides an earlier one for the same acronym (E-08).
 CASCADE = ("schwartz_hearst", "bounded", "character_match", "initial_capitals", "template")
 
+#: The switches of the cascade and their defaults: rules, then what is done with the candidates and the pairs.
+SWITCHES = {
+    "schwartz_hearst": True, "bounded": True, "high_recall": False, "character_match": True, "high_recall_character": False,
+    "initial_capitals": True, "template": True, "hyphenated": False,
+    "low_threshold": False, "starting_lower_case": True, "ignore_dots": True, "check_all_capitals": True, "small_window": True,
+    "no_beginning_small_word": True, "left_only": False, "no_brackets": True, "trimmed_marks": True, "embedded": True, "roman": True,
+    "without_punctuation": False, "unexpanded": False,
+}
+_ROMAN = regex.compile(r"(?=[IVXLC])(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})")
+
+
+def cascade(text: str, **switches: bool) -> dict[str, str | None]:
+    """Acronyms of a text with their expansions by the cascade of rules; null where one has none (E-08).
+
+    Rules run in the order of ``SWITCHES`` and later ones override earlier ones,
+    but for ``high_recall_character``, which only fills gaps. The candidate
+    switches bound the capitals of a short form and the words of an expansion;
+    ``embedded`` adds short forms that stand inside another's expansion,
+    ``unexpanded`` all others; ``roman`` drops Roman numerals.
+    """
+    unknown = set(switches) - set(SWITCHES)
+    if unknown:
+        raise ValueError(f"no such switches: {', '.join(sorted(unknown))}")
+    on = {**SWITCHES, **switches}
+    pairs: dict[str, str | None] = {}
+    for name in SWITCHES:
+        if name in RULES and on[name]:
+            found = RULES[name](text)
+            pairs = {**found, **pairs} if name == "high_recall_character" else {**pairs, **found}
+    toks = _WORD.findall(text)
+    shorts = [toks[i] for i in short_forms(toks, 0.5 if on["low_threshold"] else 0.6, on["starting_lower_case"], on["ignore_dots"])]
+    kept: dict[str, str | None] = {}
+    for acronym, expansion in pairs.items():
+        words = expansion.split()
+        if on["no_brackets"]:
+            words = regex.sub(r"[()\[\]]", " ", expansion).split()
+        while on["no_beginning_small_word"] and len(words) > 1 and words[0].lower() in SMALL_WORDS and not acronym.lower().startswith(words[0][0].lower()):
+            words = words[1:]
+        expansion = " ".join(words)
+        if on["trimmed_marks"]:
+            expansion = expansion.strip(" ,;:.\"'“”-")
+        n = sum(c.isalnum() for c in acronym)
+        if not expansion or len(expansion.split()) > (min(n + 5, 2 * n) if on["small_window"] else min(n + 10, 3 * n)):
+            continue
+        if on["check_all_capitals"] and not any(c.isupper() for c in acronym):
+            continue
+        if on["left_only"] and 0 <= text.find(acronym) < text.find(expansion):
+            continue
+        kept[acronym] = expansion
+    inside = " ".join(v for v in kept.values() if v)
+    if on["embedded"]:
+        kept |= {a: None for a in shorts if a not in kept and regex.search(r"(?<!\w)" + regex.escape(a) + r"(?!\w)", inside)}
+    if on["unexpanded"]:
+        kept |= {a: None for a in shorts if a not in kept}
+    if on["roman"]:
+        kept = {a: e for a, e in kept.items() if not _ROMAN.fullmatch(a)}
+    if on["without_punctuation"]:
+        kept = {regex.sub(r"[^\p{L}\p{N}]", "", a): e for a, e in kept.items()}
+    return kept
+
+
+def cascaded(docs: DataFrame, id_col: str, text_col: str, **switches: bool) -> DataFrame:
+    """``id_col, acronym, expansion``: the cascade over all texts; null and empty texts give no row."""
+    cascade("", **switches)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, a, e) for i, t in zip(pdf["i"], pdf["t"]) if t for a, e in cascade(t, **switches).items()]
+            yield pd.DataFrame(rows, columns=[id_col, "acronym", "expansion"])
+
+    return spread(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))).mapInPandas(run, f"{id_col} {id_type}, acronym string, expansion string")
+
 
 def extract(docs: DataFrame, id_col: str, text_col: str, rules: tuple[str, ...] = ("schwartz_hearst",)) -> DataFrame:
     """``id_col, acronym, expansion, rule``; null and empty texts give no row."""

@@ -1037,6 +1037,14 @@ def rule_cascade(spark, d):
     return best_by_priority(extract(table(spark, d, "sci_dr"), "sample_id", "text", CASCADE), "sample_id")
 
 
+@query()
+def switched_cascade(spark, d):
+    """The cascade with every rule on."""
+    from glossa.operators.inexpansion import cascaded
+
+    return cascaded(table(spark, d, "sci_dr"), "sample_id", "text", high_recall=True, high_recall_character=True, hyphenated=True, unexpanded=True)
+
+
 @query()
 def french_in_expansion(spark, d):
     from glossa.operators.inexpansion import extract

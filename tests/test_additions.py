@@ -136,3 +136,31 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         shared_dir(type("Session", (), {"conf": Conf(), "sparkContext": Context})())
+
+
+def test_switched_cascade(spark):
+    from glossa.operators.inexpansion import SWITCHES, cascade, cascaded
+
+    t = "The thermal energy absorption (TEA) was seen. Each WHO stands for World Health Organisation here. Part IV ended."
+    got = cascade(t)
+    assert got["TEA"] == "thermal energy absorption" and got["WHO"] == "World Health Organisation" and "IV" not in cascade(t, unexpanded=True)
+    assert cascade(t, unexpanded=True, roman=False)["IV"] is None
+    free = "They use an adaptive noise filter, the ANF, for it."
+    assert "ANF" not in cascade(free, character_match=False) and cascade(free, character_match=False, high_recall=True).get("ANF") == "adaptive noise filter"
+    assert cascade("light of the moon (LM) shone", high_recall_character=True)["LM"] == "light of the moon"
+    assert cascade("the RNA binding protein (RBP) and no more").get("RNA", "x") is None
+    assert cascade("") == {} and len(SWITCHES) >= 20
+    with pytest.raises(ValueError):
+        cascade("x", nonsense=True)
+    d = spark.createDataFrame([(1, t), (2, None), (3, "")], "id int, text string")
+    assert {r.id for r in cascaded(d, "id", "text").collect()} == {1}
+
+
+def test_registry_reaches_cosine_expanders(spark):
+    from glossa.plans import registry
+
+    train = spark.createDataFrame([("a", "AB", "alpha beta", "cell wall grows"), ("b", "AB", "air brake", "train stops fast")], "article_id string, acronym string, expansion string, text string")
+    tests = spark.createDataFrame([("t", "AB", "the train stops")], "article_id string, acronym string, text string")
+    for name in ("cossim", "cossim_term", "classic_context_vector"):
+        assert registry.get(registry.OUT_EXPANDERS, name)(train, tests).first().expansion == "air brake"
+    assert registry.get(registry.REPRESENTATORS, "cleaned_words")(tests, "article_id").count() == 2
