@@ -7,10 +7,15 @@ only on the acronym, so every operator groups by acronym and never fits per docu
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.runtime import sized_broadcast
+from glossa.runtime import cut, ship, sized_broadcast
+
+#: Rows of either side of a key that meet in one task; tests that are compared at once.
+BLOCK, AT_ONCE = 8_192, 128
 
 
 def cosine(a, b):
@@ -53,6 +58,61 @@ def cosine_long(tests: DataFrame, options: DataFrame, test_ids: list[str], optio
     )
 
 
+def blocked(tests: DataFrame, train: DataFrame, key: str, test_by: str, train_by: str) -> tuple:
+    """Both sides with ``_i, _j``, so that any two rows of a key meet in exactly one group by ``key, _i, _j``, and groups stay small."""
+    rows = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
+    sizes = cut(rows(tests, "_x").join(rows(train, "_y"), key).select(key, F.ceil(F.col("_x") / BLOCK).alias("_x"), F.ceil(F.col("_y") / BLOCK).alias("_y")))
+
+    def dealt(df: DataFrame, by: str, own: str, blocks: str, other: str, others: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(by), F.col(blocks)).alias(own)
+        return df.join(sizes, key).select(*(F.col(c).alias(c) for c in df.columns), at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias(other))
+
+    a = dealt(tests, test_by, "_i", "_x", "_j", "_y").groupBy(key, "_i", "_j")
+    return a, dealt(train, train_by, "_j", "_y", "_i", "_x").groupBy(key, "_i", "_j")
+
+
+def nearest_text(tests: DataFrame, train: DataFrame, test_id: str, key: str = "acronym", option: str = "expansion") -> DataFrame:
+    """``test_id, key, option, confidence``: the option of the training text with the greatest cosine of term counts (C-01 on texts).
+
+    Both sides have ``key, words, norm``, a list of terms and the length of its
+    vector; training rows have an option. Texts that share no term have no row;
+    ties go to the least option. Texts meet in blocks, term by term, and only the
+    best options of a test and block leave it.
+    """
+    ship(tests.sparkSession)
+    types = {c: tests.schema[c].dataType.simpleString() for c in (test_id, key)} | {option: train.schema[option].dataType.simpleString()}
+    a, b = blocked(tests.select(test_id, key, "words", "norm"), train.select(key, option, "words", "norm"), key, test_id, "words")
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({test_id: x[test_id][:0], key: x[key][:0], option: y[option][:0] if len(y) else [], "c": np.array([], float)})
+        if not len(x) or not len(y):
+            return empty
+        y = y.sort_values(option, kind="stable")
+        nx, ny = ([len(w) for w in z["words"]] for z in (x, y))
+        terms = pd.factorize(np.concatenate([*x["words"], *y["words"]]))[0]
+        own = terms[sum(nx) :]
+        order = np.argsort(own, kind="stable")
+        owner = np.repeat(np.arange(len(y)), ny)[order]
+        starts = np.searchsorted(own[order], np.arange(terms.max() + 2 if len(terms) else 1))
+        options = y[option].to_numpy()
+        first = np.flatnonzero(np.append(True, options[1:] != options[:-1]))
+        norm, tn, rows, at, cs = y["norm"].to_numpy(float), x["norm"].to_numpy(float), [], [], []
+        for i, mine in enumerate(np.split(terms[: sum(nx)], np.cumsum(nx)[:-1])):
+            met = [owner[starts[t] : starts[t + 1]] for t in mine]  # a term that is repeated on either side counts as often
+            dot = np.bincount(np.concatenate(met), minlength=len(y)) if met else np.zeros(len(y))
+            best = np.maximum.reduceat(np.where(dot > 0, dot / (tn[i] * norm), -1.0), first)
+            top = np.flatnonzero((best > 0) & (best >= best.max() - 2e-6))  # what can be the greatest once rounded to six digits
+            rows.append(np.full(len(top), i))
+            at.append(first[top])
+            cs.append(best[top])
+        rows, at = np.concatenate(rows), np.concatenate(at)
+        return pd.DataFrame({test_id: x[test_id].to_numpy()[rows], key: x[key].to_numpy()[rows], option: options[at], "c": np.concatenate(cs)})
+
+    best = a.cogroup(b).applyInPandas(compare, ", ".join(f"{c} {t}" for c, t in types.items()) + ", c double")
+    best = best.groupBy(test_id, key, option).agg(F.round(F.max("c"), 6).alias("confidence"))
+    return top_option(best, [test_id, key], option)
+
+
 def chunk_vote(chunks: DataFrame, train: DataFrame, test_id: str, key: list[str]) -> DataFrame:
     """Cosines of a document's chunks summed by option and divided by the number of chunks (C-13)."""
     n = chunks.groupBy(test_id).agg(F.count("*").alias("n"))

@@ -17,6 +17,16 @@ def term_counts(docs: DataFrame, id_col: str, tokens) -> DataFrame:
     return docs.select(F.col(id_col), F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
+def with_norm(docs: DataFrame, words: str = "words") -> DataFrame:
+    """With ``norm``, the length of the vector of term counts of a list of words."""
+    def squares(w):
+        runs = F.aggregate(F.array_sort(w), F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")), lambda a, x: F.struct(
+            x.alias("t"), F.when(a["t"] == x, a["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"), (a["s"] + F.when(a["t"] == x, 2 * a["n"] + 1).otherwise(F.lit(1))).alias("s")))
+        return runs["s"]
+
+    return docs.withColumn("norm", F.sqrt(squares(F.col(words)).cast("double"))).where("norm > 0")
+
+
 def bag_of_words(docs: DataFrame, id_col: str, tokens) -> DataFrame:
     """Counts over the greatest count of the corpus, as ``id_col, term, weight`` (R-01, A-11)."""
     tf = term_counts(docs, id_col, tokens)

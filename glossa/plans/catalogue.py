@@ -16,7 +16,7 @@ from glossa.operators import expanders as E
 from glossa.operators import linkage as L
 from glossa.operators import metrics as M
 from glossa.operators import vectors as V
-from glossa.runtime import table
+from glossa.runtime import cut, sized_broadcast, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -606,11 +606,29 @@ def cossim_term(spark, d):
     "SELECT sample_id, acronym, (array_agg(expansion ORDER BY c DESC, expansion))[1] AS expansion, max(c) AS confidence FROM m GROUP BY 1, 2"
 )
 def cossim_text(spark, d):
-    test, train = _sci_sides(spark, d)
-    options = train.select("acronym", F.col("sample_id").alias("train_id"), "expansion", "term", "weight")
-    c = E.cosine_long(test.select("sample_id", "acronym", "term", "weight"), options, ["sample_id"], ["train_id", "expansion"])
-    best = c.groupBy("sample_id", "acronym", "expansion").agg(F.max("confidence").alias("confidence"))
-    return E.top_option(best, ["sample_id", "acronym"], "expansion")
+    """Samples as lists of words, never as pairs of samples; the rows of a repeated id count together, as in the SQL."""
+    t = table(spark, d, "sci_dr").where("acronym_ is not null and article_id is not null and text is not null and sample_id is not null")
+    t = t.select("sample_id", "article_id", X.acronym_key(F.col("acronym_")).alias("acronym"), X.expansion_key(F.col("expansion")).alias("expansion"), X.content_words(F.col("text")).alias("words"))
+    again = t.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1").select("sample_id")
+    repeats = cut(again)
+    _, again = sized_broadcast(repeats, 200_000)
+    once, more = t.join(again, "sample_id", "left_anti"), None
+    if repeats.limit(1).count():
+        more = t.join(again, "sample_id", "left_semi")
+        more = more.drop("words").join(more.groupBy("sample_id").agg(F.flatten(F.collect_list("words")).alias("words")), "sample_id")
+
+    def side(role: str, ids: list[str], where: str):
+        rows = V.with_norm(D.in_articles(once.where(where), _roles(spark, d, role)))
+        if more is None:
+            return rows
+        m = D.in_articles(more.where(where), _roles(spark, d, role))
+        m = V.with_norm(m).join(m.groupBy("sample_id").agg(F.count("*").alias("all")), "sample_id")
+        m = m.groupBy(*ids).agg(F.count("*").alias("n"), F.first("words").alias("words"), F.first(F.sqrt(F.round(F.col("norm") * F.col("norm")) * F.col("all"))).alias("norm"))
+        m = m.withColumn("words", F.flatten(F.expr("array_repeat(words, cast(n as int))"))).select(*ids, "words", "norm")
+        return rows.select(*ids, "words", "norm").unionByName(m)
+
+    test = side("test", ["sample_id", "acronym"], "true")
+    return E.nearest_text(test, side("train", ["sample_id", "acronym", "expansion"], "expansion is not null"), "sample_id")
 
 
 _EMB = (
