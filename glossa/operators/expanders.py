@@ -193,15 +193,64 @@ def keyword_overlap(tests: DataFrame, train: DataFrame, test_ids: list[str], top
     return t.join(o, [key, "term"]).groupBy(*test_ids, key, option).agg(F.round(F.sum("weight"), 6).alias("confidence"))
 
 
+def rounded(c: np.ndarray) -> np.ndarray:
+    """Millionths, half up as Spark rounds the decimals of a double."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    r = np.sign(c) * np.floor(np.abs(c) * 1e6 + 0.5)
+    for i in np.flatnonzero(np.abs(np.abs(c) * 1e6 % 1 - 0.5) < 1e-6):
+        r[i] = float((Decimal(repr(float(c[i]))) * 1_000_000).quantize(Decimal(1), ROUND_HALF_UP))
+    return r
+
+
 def neighbour_vote(tests: DataFrame, train: DataFrame, test_id: str, k: int = 5, key: str = "acronym") -> DataFrame:
-    """The label most of the k nearest training vectors of the acronym have; ties go to the nearer sum, then the least label (C-12, C-23)."""
-    j = tests.select(test_id, key, F.col("vec").alias("a")).join(train.select(key, "train_id", "label", F.col("vec").alias("b")), key)
-    c = j.select(test_id, key, "label", F.round(cosine(F.col("a"), F.col("b")), 6).alias("c"), "train_id")
+    """The label most of the k nearest training vectors of the acronym have; ties go to the nearer sum, then the least label (C-12, C-23).
+
+    Vectors meet in blocks as matrices; of each block a test keeps its k nearest.
+    Equally near ones, to six digits, are taken by training id.
+    """
+    ship(tests.sparkSession)
+    types = {c: tests.schema[c].dataType.simpleString() for c in (test_id, key)} | {c: train.schema[c].dataType.simpleString() for c in ("train_id", "label")}
+    a, b = blocked(tests.select(test_id, key, "vec"), train.select(key, "train_id", "label", "vec"), key, test_id, "train_id")
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        rows, near, cs = [np.array([], int)], [np.array([], int)], [np.array([], float)]
+        if len(x) and len(y):
+            ids, labels = (pd.factorize(y[c], sort=True)[0] for c in ("train_id", "label"))
+            order = np.lexsort((labels, ids))
+            y = y.iloc[order]
+            p, q = np.stack(x["vec"]).astype(float), np.stack(y["vec"]).astype(float)
+            pn, qn = (np.sqrt(_in_order(z, z)) for z in (p, q))
+            for i in range(0, len(p), AT_ONCE):
+                n = pn[i : i + AT_ONCE, None] * qn
+                c = np.divide(p[i : i + AT_ONCE] @ q.T, n, out=np.zeros_like(n), where=n > 0)
+                least = np.partition(c, len(q) - k, axis=1)[:, len(q) - k] if len(q) > k else np.full(len(c), -2.0)
+                r, j = np.nonzero(c >= least[:, None] - 2e-6)  # what can be among the k nearest once rounded
+                n = n[r, j]
+                m = rounded(np.divide(_in_order(p[i + r], q[j]), n, out=np.zeros_like(n), where=n > 0))
+                by = np.lexsort((j, -m, r))
+                r, j, m = r[by], j[by], m[by]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                rows.append(i + r[keep])
+                near.append(j[keep])
+                cs.append(m[keep] / 1e6)
+        r, j = np.concatenate(rows), np.concatenate(near)
+        return pd.DataFrame({test_id: x[test_id].iloc[r].array, key: x[key].iloc[r].array, "train_id": y["train_id"].iloc[j].array, "label": y["label"].iloc[j].array, "c": np.concatenate(cs)})
+
+    c = a.cogroup(b).applyInPandas(compare, ", ".join(f"{n} {t}" for n, t in types.items()) + ", c double")
     near = c.groupBy(test_id, key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("m"), "train_id", "label"))), 1, k).alias("n"))
     n = near.select(test_id, key, F.explode("n").alias("x")).groupBy(test_id, key, F.col("x.label").alias("label")).agg(F.count("*").alias("votes"), F.round(F.sum(-F.col("x.m")), 6).alias("s"))
     return n.groupBy(test_id, key).agg(F.min_by("label", F.struct(-F.col("votes"), -F.col("s"), "label")).alias("label"), F.max("votes").alias("votes"))
 
 
+def _in_order(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Products of rows summed from left to right, as ``cosine`` does."""
+    s = np.zeros(len(p))
+    for d in range(p.shape[1]):
+        s += p[:, d] * q[:, d]
+    return s
+
+
 def training_pairs(instances: DataFrame, blocks: int = 16) -> DataFrame:
     """``acronym, left, right, same``: as many pairs of equal as of unequal expansions for similarity learning (J-16).
 

@@ -240,3 +240,39 @@ def test_randomisation_and_bootstrap(spark):
     assert r.observed == 1.0 and r.p_value < 0.01
     b = M.bootstrap_interval(s, 100).first()
     assert (b["mean"], b.low, b.high) == (1.0, 1.0, 1.0)
+
+
+def test_nearest_text_and_neighbours_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(E, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(E, "AT_ONCE", 3, raising=False)
+    rnd = random.Random(4)
+    side = lambda n, a: [(a + i, rnd.choice("xxxyz"), rnd.choice("pqr"), [rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6))], [float(rnd.randint(-1, 1)) for _ in range(4)]) for i in range(n)]
+    tests, train = side(40, 0), side(60, 100)
+    frame = lambda r: V.with_norm(spark.createDataFrame(r, "sample_id long, acronym string, label string, words array<string>, vec array<double>"))
+    a, b = frame(tests), frame(train).withColumnRenamed("sample_id", "train_id")
+    long = lambda f, i: V.term_counts(f, i, F.col("words")).join(f.select(i, "acronym", "label"), i).withColumn("weight", F.col("tf").cast("double"))
+    c = E.cosine_long(long(a, "sample_id").drop("label"), long(b, "train_id"), ["sample_id"], ["train_id", "label"])
+    want = E.top_option(c.groupBy("sample_id", "acronym", "label").agg(F.max("confidence").alias("confidence")), ["sample_id", "acronym"])
+    assert rows(E.nearest_text(a, b, "sample_id", option="label")) == rows(want)
+
+    j = a.select("sample_id", "acronym", "vec").join(b.select("acronym", "train_id", "label", F.col("vec").alias("v")), "acronym")
+    got = {}
+    for r in j.select("sample_id", "acronym", "train_id", "label", F.round(E.cosine(F.col("vec"), F.col("v")), 6).alias("c")).collect():
+        got.setdefault((r.sample_id, r.acronym), []).append((-r.c, r.train_id, r.label))
+    votes = []
+    for k, near in got.items():
+        near = sorted(near)[:5]
+        tally = {x: (-sum(n[2] == x for n in near), round(sum(n[0] for n in near if n[2] == x), 6), x) for x in {n[2] for n in near}}
+        votes.append((*k, min(tally.values())[2], -min(tally.values())[0]))
+    assert rows(E.neighbour_vote(a, b, "sample_id")) == sorted(votes)
+    plan = E.nearest_text(a, b, "sample_id", option="label")._jdf.queryExecution().toString() + E.neighbour_vote(a, b, "sample_id")._jdf.queryExecution().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") and "Join Inner, (acronym" not in plan.split("FlatMapCoGroups")[0]
+    assert E.neighbour_vote(a.limit(0), b, "sample_id").count() == 0 == E.nearest_text(a, b.limit(0), "sample_id", option="label").count()
+
+
+def test_rounding_is_half_up():
+    import numpy as np
+
+    assert E.rounded(np.array([0.0000005, 0.1234565, -0.1234565, 0.9999995, 0.3, 1.0])).tolist() == [1, 123457, -123457, 1000000, 300000, 1000000]
